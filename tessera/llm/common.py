@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 #: Bytes of text that one numpy pass takes at once; a longer single text makes a slice of its own.
 SLICE_BYTES = 8 << 20
@@ -158,3 +159,60 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         mark = new
     return now.groupBy("src").agg(F.min("dst").alias("dst")).select(F.col("src").alias("node"), F.col("dst").alias("component")).unionAll(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic model by Newton steps, with a small ridge on standardised columns."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    a = np.c_[(x - mean) / scale, np.ones(len(x))]
+    w, weight = np.zeros(a.shape[1]), weight / weight.sum()
+    ridge = np.diag([penalty] * x.shape[1] + [1e-9])
+    for _ in range(60):
+        p = sigmoid(a @ w)
+        step = np.linalg.solve((a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + ridge, a.T @ (weight * (p - y)) + ridge @ w)
+        w = w - step / max(1.0, np.abs(step).max() / 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w[:-1] / scale, float(w[-1] - (w[:-1] / scale * mean).sum())
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, held_out, key: str, text: str, label: str, max_rows: int, max_bytes: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Texts, labels (0 or 1) and weights of at most ``max_rows`` labelled rows of each class that are not held out.
+
+    Rows are taken in the order of a hash of their id. A repeated label row counts once and the larger label holds.
+    Texts of more than ``max_bytes`` bytes are not in the sample. A weight is how many labelled rows a row stands for.
+    """
+    marked = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)").groupBy("key").agg(F.max("label").alias("label"))
+    marked = marked.where(~F.crc32(F.col("key").cast("string").cast("binary")).isNull()).withColumnRenamed("key", key).where(~held_out)
+    total = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    picks = [marked.where(F.col("label") == c).orderBy(F.xxhash64(key), key).limit(max_rows) for c in sorted(total)]
+    if not picks:
+        return pa.array([], pa.string()), np.zeros(0, int), np.zeros(0)
+    chosen = picks[0] if len(picks) == 1 else picks[0].unionAll(picks[1])
+    chosen = chosen.withColumnRenamed(key, "key")
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes)
+    # at most 2 * max_rows ids of eight bytes are sent to the executors
+    got = texts.join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("key").toArrow().combine_chunks()
+    y = got.column("label").to_numpy().astype(int)
+    column = got.column("text").combine_chunks() if isinstance(got.column("text"), pa.ChunkedArray) else got.column("text")
+    weight = np.array([total[c] / max(1, int((y == c).sum())) for c in y])
+    return column, y, weight
+
+
+def with_scores(docs: DataFrame, model, scores, text: str) -> DataFrame:
+    """The columns of ``docs``, then score (double) and predicted (int: 1 from 0.5 on)."""
+    kept = docs.drop("score", "predicted")
+    names = [f"c{i}" for i in range(len(kept.columns))]
+    at = kept.columns.index(text)
+    schema = kept.toDF(*names).schema.add("score", DoubleType()).add("predicted", IntegerType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, names[at]):
+            got = scores(model.value, part.column(at))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got), pa.array((got >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+
+    return kept.toDF(*names).mapInArrow(run, schema).toDF(*kept.columns, "score", "predicted")
