@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, lm, packing, quality, simhash, toxicity
+from . import bpe, chat, lm, packing, quality, simhash, substring, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_planted(table(spark, sf_dir, "conversations")))
 
@@ -40,6 +44,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_lm_score, op5_chat_format, op6_quality, op7_packing, op8_toxicity, op9_bpe, op10_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_lm_score, op4_substring_dedup, op5_chat_format, op6_quality, op7_packing, op8_toxicity, op9_bpe, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat.SQL}
