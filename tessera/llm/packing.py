@@ -27,12 +27,37 @@ def load(path: str | None = None, pattern: str | None = None) -> WordCache:
     t = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in t.encode_batch_fast(words, add_special_tokens=False)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.int32, int(length.sum())), length
-
-    return WordCache(pattern or public_tokenizers.PATTERN, encode)
+    return WordCache(pattern or public_tokenizers.PATTERN, WordEncoder(t))
+
+
+class WordEncoder:
+    """ids of distinct words. Words of a space and letters are encoded as one running text, which the tokenizer splits
+    at those spaces again: only their first id stands for a string with a space. All others are encoded one by one."""
+
+    def __init__(self, tokenizer):
+        self.encode = tokenizer.encode_batch_fast
+        vocabulary = tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [w[0] == " " and w[1:].isalpha() for w in words]
+        running = [w for w, p in zip(words, plain) if p]
+        texts = ["".join(running[a : a + 2000]) for a in range(0, len(running), 2000)]
+        ids = [np.array(x.ids, np.int32) for x in self.encode(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        starts = np.flatnonzero(self.spaced[flat])
+        if len(starts) != len(running):  # a tokenizer that splits letters in another way
+            plain, running, flat, starts = [False] * len(words), [], flat[:0], starts[:0]
+        others = [np.array(x.ids, np.int32) for x in self.encode([w for w, p in zip(words, plain) if not p], add_special_tokens=False)]
+        length = np.zeros(len(words), np.int64)
+        at = np.array(plain, bool)
+        length[at] = np.diff(np.append(starts, len(flat)))
+        length[~at] = [len(x) for x in others]
+        out = np.zeros(int(length.sum()), np.int32)
+        mine = np.repeat(at, length)
+        out[mine], out[~mine] = flat, np.concatenate([np.zeros(0, np.int32), *others])
+        return out, length
 
 
 def pieces(tokens: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,41 +23,45 @@ def stretches(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
 
 
+class _Index(dict):
+    """Numbers its keys in the order of their first look-up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class WordCache:
-    """ids of texts. ``encode`` gives the ids of distinct words; at most ``limit`` words are remembered at a time."""
+    """ids of texts. ``encode`` gives the ids of distinct words; about ``limit`` words are remembered at a time."""
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
         import regex
 
         self.find, self.encode, self.limit = regex.compile(pattern).findall, encode, limit
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and how many each text has."""
-        found, count = [], np.zeros(len(texts), np.int64)
+        if len(self.index) > self.limit:
+            self.clear()
+        known, look_up = len(self.index), self.index.__getitem__
+        found: list[int] = []
+        count = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts.to_pylist()):
             if text:
-                w = self.find(text)
-                count[i] = len(w)
-                found += w
-        get = self.index.get
-        at = [get(w, -1) for w in found]
-        new = list(dict.fromkeys(w for w, i in zip(found, at) if i < 0)) if at and min(at) < 0 else []
-        if new and len(self.index) + len(new) > self.limit:
-            self.clear()
-            new = list(dict.fromkeys(found))
+                before = len(found)
+                found.extend(map(look_up, self.find(text)))
+                count[i] = len(found) - before
+        new = list(islice(self.index, known, None))
         if new:
             flat, length = self.encode(new)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
             self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(length, dtype=np.int64)))
-            get = self.index.__getitem__
-            at = [get(w) for w in found]
-        ids, length = gather(self.flat, self.offsets, np.array(at, np.int64))
+        ids, length = gather(self.flat, self.offsets, np.array(found, np.int64))
         ends = np.concatenate(([0], np.cumsum(length)))
         word_at = np.concatenate(([0], np.cumsum(count)))
         return ids, np.diff(ends[word_at])
