@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, lm, packing, quality, simhash, substring, toxicity
+from . import bpe, chat, embedding, lm, packing, quality, simhash, substring, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_lm_score, op4_substring_dedup, op5_chat_format, op6_quality, op7_packing, op8_toxicity, op9_bpe, op10_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_score, op4_substring_dedup, op5_chat_format, op6_quality, op7_packing, op8_toxicity, op9_bpe, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat.SQL}
