@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding, lm, packing, quality, simhash, substring, toxicity
+from . import bpe, chat, edit_fingerprint, embedding, lm, packing, quality, simhash, substring, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op3_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.compared(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_score, op4_substring_dedup, op5_chat_format, op6_quality, op7_packing, op8_toxicity, op9_bpe, op10_simhash_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_score, op3_edit_fingerprint, op4_substring_dedup, op5_chat_format, op6_quality, op7_packing, op8_toxicity, op9_bpe, op10_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat.SQL}
