@@ -175,3 +175,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     rows = cut(fingerprint_rows(docs, key, text, shingle))
     found = components(rows, radius)
     return rows.join(found, "fingerprint", "left").select(F.col("key").alias("doc_id"), hexadecimal(F.col("fingerprint")).alias("fingerprint"), F.when(F.col("key").isNotNull(), F.col("component")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` that have the smallest key of their component, one row a key; rows with a null key stay."""
+    found = near_duplicates(docs, key, text, radius, shingle)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first.select(F.col("doc_id").alias(key)), key, "left_semi").dropDuplicates([key])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
