@@ -21,13 +21,19 @@ ORDER = 8
 DISCOUNT = 0.75
 #: The models are fitted on so many labelled rows of each class at most, chosen by a hash of their id, and on texts of
 #: so many bytes at most. Scoring has no such bounds.
-MAX_ROWS = 5000
+MAX_ROWS = 2500
 MAX_BYTES = 1 << 15
 #: Parts of the sample that are scored by models of the other parts, so that the scale of evidence is that of new texts.
 FOLDS = 3
 
 
-def grams(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def grams(flat: pa.Array, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """As _grams(), so many words at a time."""
+    parts = [_grams(flat.slice(a, step)) for a in range(0, max(len(flat), 1), step)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))))
+
+
+def _grams(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The 8 bytes up to and including each byte of each word and of the space behind it, as uint64 (a word begins
     after a space and zero bytes), and where each word's grams begin."""
     data, at = string_bytes(flat)
@@ -125,6 +131,7 @@ def train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> dict[str, A
     keys, key_at = grams(distinct)
     word = np.repeat(np.arange(len(distinct)), np.diff(key_at))
     every, place = np.unique(keys, return_inverse=True)
+    del keys, flat, coded
 
     def fitted(rows: np.ndarray) -> dict[str, np.ndarray]:
         counts = [np.bincount(place, np.bincount(ids[(rows & (toxic == c))[doc]], minlength=len(distinct))[word], len(every)) for c in (1, 0)]
