@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 
@@ -17,12 +18,15 @@ def types_compatible(a: Column, b: Column) -> Column:
     return ~(((a == "PERSON") & b.isin(*never)) | ((b == "PERSON") & a.isin(*never)))
 
 
-@F.pandas_udf("double")
-def string_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two names, 0 to 1, whatever their case; 0 where either is null."""
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x.lower().strip(), y.lower().strip()).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b)])
 
 
+def string_score(a: Column, b: Column) -> Column:
+    """Similarity of two names, 0 to 1, whatever their case; 0 where either is null."""
+    return F.pandas_udf(_ratio, DoubleType())(a, b)
+
+
 def candidates(new: DataFrame, known: DataFrame, key: str = "entity_id", name: str = "name", most: int = 20) -> DataFrame:
     """(key, candidate): known entities that share a blocking key with a new one.
 

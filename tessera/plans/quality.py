@@ -9,7 +9,7 @@ from ..operators import relational as R
 from ..registry import query
 
 c = F.col
-n = F.count("*")
+n = lambda: F.count("*")
 r6 = lambda x: F.round(x, 6)
 
 
@@ -50,17 +50,17 @@ def _(m, e):
 
 @query("A28_size_bands", "orders", sql="SELECT CASE WHEN k <= 2 THEN 'small' WHEN k <= 5 THEN 'medium' ELSE 'large' END AS band, count(*) AS count FROM (SELECT o_custkey, count(*) AS k FROM orders GROUP BY o_custkey) GROUP BY 1")
 def _(o):
-    return Q.size_bands(o.groupBy("o_custkey").agg(n.alias("size")))
+    return Q.size_bands(o.groupBy("o_custkey").agg(n().alias("size")))
 
 
 @query("A29_size_histogram", "orders", sql="SELECT k AS size, count(*) AS count FROM (SELECT o_custkey, count(*) AS k FROM orders GROUP BY o_custkey) GROUP BY k")
 def _(o):
-    return o.groupBy("o_custkey").agg(n.alias("size")).groupBy("size").agg(n.alias("count"))
+    return o.groupBy("o_custkey").agg(n().alias("size")).groupBy("size").agg(n().alias("count"))
 
 
 @query("A30_predicate_profile", "relation_rows", sql="SELECT predicate, count(*) AS k, round(count(*) * avg(confidence), 4) AS score FROM relation_rows GROUP BY predicate ORDER BY score DESC, predicate LIMIT 10")
 def _(r):
-    return r.groupBy("predicate").agg(n.alias("k"), F.round(n * F.avg("confidence"), 4).alias("score")).orderBy(F.desc("score"), "predicate").limit(10)
+    return r.groupBy("predicate").agg(n().alias("k"), F.round(n() * F.avg("confidence"), 4).alias("score")).orderBy(F.desc("score"), "predicate").limit(10)
 
 
 @query("A31_extraction_quality", "relation_rows", "entities", sql="""
@@ -85,7 +85,7 @@ def _(r, e):
 @query("A34_size_percentiles", "orders", sql="""
 WITH s AS (SELECT count(*) AS k FROM orders GROUP BY o_custkey), a AS (SELECT list_sort(list(k)) AS l FROM s) SELECT l[floor(len(l) * 0.5)::INT + 1] AS p50, l[floor(len(l) * 0.95)::INT + 1] AS p95 FROM a""")
 def _(o):
-    return Q.index_percentiles(o.groupBy("o_custkey").agg(n.alias("k")), "k", {"p50": 0.5, "p95": 0.95})
+    return Q.index_percentiles(o.groupBy("o_custkey").agg(n().alias("k")), "k", {"p50": 0.5, "p95": 0.95})
 
 
 @query("A35_healthy_ranges", "mentions", "entities", sql="""
@@ -118,7 +118,7 @@ def _(e):
 WITH a AS (SELECT avg(value) AS m FROM events) SELECT user_id, round(avg(value), 6) AS mean, CASE WHEN avg(value) > 1.1 * any_value(m) THEN 'above' WHEN avg(value) < 0.9 * any_value(m) THEN 'below' ELSE 'average' END AS verdict, round(count(*) FILTER (event_type <> 'error') / count(*), 6) AS success_rate FROM events, a GROUP BY user_id""")
 def _(e):
     mean = e.agg(F.avg("value").alias("m"))
-    by = e.groupBy("user_id").agg(F.avg("value").alias("v"), (F.count_if(c("event_type") != "error") / n).alias("s")).crossJoin(F.broadcast(mean))
+    by = e.groupBy("user_id").agg(F.avg("value").alias("v"), (F.count_if(c("event_type") != "error") / n()).alias("s")).crossJoin(F.broadcast(mean))
     return by.select("user_id", r6("v").alias("mean"), F.when(c("v") > 1.1 * c("m"), "above").when(c("v") < 0.9 * c("m"), "below").otherwise("average").alias("verdict"), r6("s").alias("success_rate"))
 
 
@@ -126,7 +126,7 @@ def _(e):
 WITH r AS (SELECT user_id AS run_id, sum(value) AS seconds, count(*) AS docs, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id), a AS (SELECT avg(seconds) AS u FROM r)
 SELECT run_id, unnest(list_filter([CASE WHEN seconds > 1.5 * u THEN 'slow' END, CASE WHEN errors / docs > 0.1 THEN 'many_retries' END, CASE WHEN docs / seconds < 0.5 THEN 'low_throughput' END, CASE WHEN errors >= 3 THEN 'repeated_error' END], lambda x: x IS NOT NULL)) AS insight FROM r, a""")
 def _(e):
-    runs = e.groupBy(c("user_id").alias("run_id")).agg(F.sum("value").alias("seconds"), n.alias("docs"), F.count_if(c("event_type") == "error").alias("retries"))
+    runs = e.groupBy(c("user_id").alias("run_id")).agg(F.sum("value").alias("seconds"), n().alias("docs"), F.count_if(c("event_type") == "error").alias("retries"))
     usual = runs.agg(F.avg("seconds").alias("usual_seconds"))
     full = runs.crossJoin(F.broadcast(usual)).withColumns({"cost": F.lit(0.0), "usual_cost": F.lit(0.0), "tokens": F.lit(0), "same_errors": c("retries")})
     return Q.insights(full)
@@ -140,7 +140,7 @@ def _(k):
 
 @query("A44_relation_stats", "relation_rows", sql="SELECT predicate, count(*) AS n, round(avg(confidence), 6) AS avg, count(DISTINCT subject_id) AS subjects, count(DISTINCT object_id) AS objects FROM relation_rows GROUP BY predicate")
 def _(r):
-    return r.groupBy("predicate").agg(n.alias("n"), r6(F.avg("confidence")).alias("avg"), F.count_distinct("subject_id").alias("subjects"), F.count_distinct("object_id").alias("objects"))
+    return r.groupBy("predicate").agg(n().alias("n"), r6(F.avg("confidence")).alias("avg"), F.count_distinct("subject_id").alias("subjects"), F.count_distinct("object_id").alias("objects"))
 
 
 @query("A48_token_cost", "documents", sql="""
@@ -164,5 +164,5 @@ def _(e):
 
 @query("A54_quality_endpoint", "mentions", "entities", sql="SELECT round(((SELECT count(*) FROM mentions) - count(*)) / (SELECT count(*) FROM mentions), 6) AS merge_rate, count(*) AS entities FROM entities")
 def _(m, e):
-    k = m.agg(n.alias("m"))
-    return e.agg(n.alias("entities")).crossJoin(F.broadcast(k)).select(r6((c("m") - c("entities")) / c("m")).alias("merge_rate"), "entities")
+    k = m.agg(n().alias("m"))
+    return e.agg(n().alias("entities")).crossJoin(F.broadcast(k)).select(r6((c("m") - c("entities")) / c("m")).alias("merge_rate"), "entities")

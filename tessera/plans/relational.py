@@ -12,7 +12,7 @@ from ..registry import query
 
 c = F.col
 r6 = lambda x: F.round(x, 6)
-n = F.count("*")
+n = lambda: F.count("*")
 
 
 # Scans
@@ -38,7 +38,7 @@ def _(d, e):
 
 @query("S08_redundancy_groups", "chunks", sql="SELECT video_id, count(*) AS n, min(chunk_id) AS first FROM chunks GROUP BY video_id")
 def _(k):
-    return k.groupBy("video_id").agg(n.alias("n"), F.min("chunk_id").alias("first"))
+    return k.groupBy("video_id").agg(n().alias("n"), F.min("chunk_id").alias("first"))
 
 
 @query("S10_extraction_scan", "chunks", sql="SELECT chunk_id FROM chunks WHERE text <> '' AND (extraction IS NULL OR extraction NOT IN ('completed', 'skipped'))")
@@ -207,7 +207,7 @@ def _(r, e):
 @query("J01_timeline_lookup", "mentions", "entities", sql="""
 SELECT video_id, type, count(*) AS mentions, count(DISTINCT chunk_id) AS chunks FROM mentions JOIN entities USING (entity_id) GROUP BY video_id, type""")
 def _(m, e):
-    return m.join(e.select("entity_id", "type"), "entity_id").groupBy("video_id", "type").agg(n.alias("mentions"), F.count_distinct("chunk_id").alias("chunks"))
+    return m.join(e.select("entity_id", "type"), "entity_id").groupBy("video_id", "type").agg(n().alias("mentions"), F.count_distinct("chunk_id").alias("chunks"))
 
 
 @query("J02_relation_names", "relations", "entities", sql="""
@@ -238,7 +238,7 @@ def _(e):
 SELECT a.name AS subject, b.name AS object, count(*) AS n FROM relation_rows r JOIN entities a ON a.entity_id = r.subject_id JOIN entities b ON b.entity_id = r.object_id GROUP BY a.name, b.name""")
 def _(r, e):
     # counts by ids first, so names are joined to one row a pair
-    pairs = r.groupBy("subject_id", "object_id").agg(n.alias("k"))
+    pairs = r.groupBy("subject_id", "object_id").agg(n().alias("k"))
     a, b = e.select(c("entity_id").alias("subject_id"), c("name").alias("subject")), e.select(c("entity_id").alias("object_id"), c("name").alias("object"))
     return pairs.join(a, "subject_id").join(b, "object_id").groupBy("subject", "object").agg(F.sum("k").alias("n"))
 
@@ -246,14 +246,14 @@ def _(r, e):
 @query("J06_existing_endpoints", "relations", "entities", sql="SELECT count(*) AS n FROM relations WHERE subject_id IN (SELECT entity_id FROM entities) AND object_id IN (SELECT entity_id FROM entities)")
 def _(r, e):
     ids = e.select("entity_id")
-    return r.join(ids, c("subject_id") == c("entity_id"), "left_semi").join(ids, c("object_id") == c("entity_id"), "left_semi").agg(n.alias("n"))
+    return r.join(ids, c("subject_id") == c("entity_id"), "left_semi").join(ids, c("object_id") == c("entity_id"), "left_semi").agg(n().alias("n"))
 
 
 @query("J16_trust_propagation", "mentions", "orders", sql="""
 SELECT entity_id, round(avg(o_totalprice), 4) AS trust, count(*) AS chunks FROM (SELECT DISTINCT entity_id, chunk_number FROM mentions) JOIN orders ON o_orderkey = chunk_number GROUP BY entity_id""")
 def _(m, o):
     said = m.select("entity_id", "chunk_number").distinct()
-    return said.join(o.select(c("o_orderkey").alias("chunk_number"), "o_totalprice"), "chunk_number").groupBy("entity_id").agg(F.round(F.avg("o_totalprice"), 4).alias("trust"), n.alias("chunks"))
+    return said.join(o.select(c("o_orderkey").alias("chunk_number"), "o_totalprice"), "chunk_number").groupBy("entity_id").agg(F.round(F.avg("o_totalprice"), 4).alias("trust"), n().alias("chunks"))
 
 
 @query("J17_chunk_metadata", "chunks", "videos", sql="SELECT k.chunk_id, v.title, v.view_count FROM chunks k LEFT JOIN videos v ON v.video_id = k.chunk_id")
@@ -279,13 +279,13 @@ def _(r):
 @query("J21_entity_video_mapping", "mentions", sql="SELECT video_id, count(DISTINCT entity_id) AS entities, sum(DISTINCT substr(entity_id, 2)::BIGINT)::BIGINT AS ids FROM mentions GROUP BY video_id")
 def _(m):
     pairs = m.select("video_id", "entity_id").distinct()
-    return pairs.groupBy("video_id").agg(n.alias("entities"), F.sum(F.substring("entity_id", 2, 20).cast("long")).alias("ids"))
+    return pairs.groupBy("video_id").agg(n().alias("entities"), F.sum(F.substring("entity_id", 2, 20).cast("long")).alias("ids"))
 
 
 @query("J22_parent_and_children", "nation", "customer", "supplier", sql="""
 SELECT n_nationkey, n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, coalesce((SELECT list(s_suppkey ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey), []) AS suppliers FROM nation""")
 def _(t, u, s):
-    customers = u.groupBy(c("c_nationkey").alias("n_nationkey")).agg(n.alias("customers"))
+    customers = u.groupBy(c("c_nationkey").alias("n_nationkey")).agg(n().alias("customers"))
     suppliers = s.groupBy(c("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("suppliers"))
     return t.join(customers, "n_nationkey", "left").join(suppliers, "n_nationkey", "left").select("n_nationkey", "n_name", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.array().cast("array<bigint>")).alias("suppliers"))
 
@@ -301,7 +301,7 @@ WITH m AS (SELECT DISTINCT entity_id FROM mentions WHERE video_id = 'c7')
 SELECT e.type, count(*) AS members, round(avg(e.confidence), 6) AS confidence FROM m JOIN entities e USING (entity_id) GROUP BY e.type""")
 def _(r, m, e):
     members = m.where("video_id = 'c7'").select("entity_id").distinct()
-    return e.join(members, "entity_id", "left_semi").groupBy("type").agg(n.alias("members"), r6(F.avg("confidence")).alias("confidence"))
+    return e.join(members, "entity_id", "left_semi").groupBy("type").agg(n().alias("members"), r6(F.avg("confidence")).alias("confidence"))
 
 
 # Rollups
@@ -323,50 +323,50 @@ def _(r, e):
 
 @query("A07_level_rollup", "orders", sql="SELECT o_orderpriority AS level, count(*) AS count, round(avg(o_totalprice), 2) AS avg_size, count(*) FILTER (o_orderstatus = 'F') AS done FROM orders GROUP BY o_orderpriority")
 def _(o):
-    return o.groupBy(c("o_orderpriority").alias("level")).agg(n.alias("count"), F.round(F.avg("o_totalprice"), 2).alias("avg_size"), F.count_if(c("o_orderstatus") == "F").alias("done"))
+    return o.groupBy(c("o_orderpriority").alias("level")).agg(n().alias("count"), F.round(F.avg("o_totalprice"), 2).alias("avg_size"), F.count_if(c("o_orderstatus") == "F").alias("done"))
 
 
 @query("A09_channel_rollup", "videos", sql="""
 SELECT channel_id, arg_min(title, video_id) AS first_title, count(*) AS videos, sum(view_count)::BIGINT AS views, sum(like_count)::BIGINT AS likes, round(avg(like_count / greatest(1, view_count)), 4) AS engagement,
        round(avg(duration_seconds) / 60, 1) AS minutes, min(published_year) AS first_year, max(published_year) AS last_year, round(100.0 * count(transcript) / count(*), 6) AS coverage FROM videos GROUP BY channel_id""")
 def _(v):
-    return v.groupBy("channel_id").agg(F.min_by("title", "video_id").alias("first_title"), n.alias("videos"), F.sum("view_count").alias("views"), F.sum("like_count").alias("likes"), F.round(F.avg(c("like_count") / F.greatest(F.lit(1), "view_count")), 4).alias("engagement"), F.round(F.avg("duration_seconds") / 60, 1).alias("minutes"), F.min("published_year").alias("first_year"), F.max("published_year").alias("last_year"), r6(100.0 * F.count("transcript") / n).alias("coverage"))
+    return v.groupBy("channel_id").agg(F.min_by("title", "video_id").alias("first_title"), n().alias("videos"), F.sum("view_count").alias("views"), F.sum("like_count").alias("likes"), F.round(F.avg(c("like_count") / F.greatest(F.lit(1), "view_count")), 4).alias("engagement"), F.round(F.avg("duration_seconds") / 60, 1).alias("minutes"), F.min("published_year").alias("first_year"), F.max("published_year").alias("last_year"), r6(100.0 * F.count("transcript") / n()).alias("coverage"))
 
 
 @query("A10_playlist_rollup", "videos", sql="SELECT playlist_id, channel_id, count(*) AS videos, sum(view_count)::BIGINT AS views, max(duration_seconds) AS longest FROM videos GROUP BY playlist_id, channel_id")
 def _(v):
-    return v.groupBy("playlist_id", "channel_id").agg(n.alias("videos"), F.sum("view_count").alias("views"), F.max("duration_seconds").alias("longest"))
+    return v.groupBy("playlist_id", "channel_id").agg(n().alias("videos"), F.sum("view_count").alias("views"), F.max("duration_seconds").alias("longest"))
 
 
 @query("A11_filter_preview", "videos", sql="SELECT channel_id, count(*) AS videos, sum(view_count)::BIGINT AS views, count(transcript) AS with_transcript FROM videos WHERE view_count >= 800 GROUP BY ROLLUP (channel_id)")
 def _(v):
-    return v.where("view_count >= 800").rollup("channel_id").agg(n.alias("videos"), F.sum("view_count").alias("views"), F.count("transcript").alias("with_transcript"))
+    return v.where("view_count >= 800").rollup("channel_id").agg(n().alias("videos"), F.sum("view_count").alias("views"), F.count("transcript").alias("with_transcript"))
 
 
 @query("A12_extraction_summary", "relation_rows", sql="""
 SELECT count(*) AS chunks, sum(k)::BIGINT AS relations, round(avg(k), 6) AS per_chunk, max(k) AS most FROM (SELECT chunk_id, count(*) AS k FROM relation_rows GROUP BY chunk_id)""")
 def _(r):
-    return r.groupBy("chunk_id").agg(n.alias("k")).agg(n.alias("chunks"), F.sum("k").alias("relations"), r6(F.avg("k")).alias("per_chunk"), F.max("k").alias("most"))
+    return r.groupBy("chunk_id").agg(n().alias("k")).agg(n().alias("chunks"), F.sum("k").alias("relations"), r6(F.avg("k")).alias("per_chunk"), F.max("k").alias("most"))
 
 
 @query("A16_feedback_rollup", "chunks", sql="""
 WITH t AS (SELECT video_id, channel_id AS tag, count(*) AS k FROM chunks GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY k DESC, tag) AS r FROM t)
 SELECT video_id, tag, k FROM s WHERE r <= 10""")
 def _(k):
-    tags = k.groupBy("video_id", c("channel_id").alias("tag")).agg(n.alias("k"))
+    tags = k.groupBy("video_id", c("channel_id").alias("tag")).agg(n().alias("k"))
     return R.top_per(tags, ["video_id"], [c("k").desc(), c("tag").asc()], 10).select("video_id", "tag", "k")
 
 
 @query("A17_session_tags", "events", sql="SELECT replace(lower(event_type || '_' || user_id), '_', '-') AS tag, count(*) AS k FROM events GROUP BY tag ORDER BY k DESC, tag LIMIT 200")
 def _(e):
-    return e.groupBy(F.translate(F.lower(F.concat("event_type", F.lit("_"), "user_id")), "_", "-").alias("tag")).agg(n.alias("k")).orderBy(F.desc("k"), "tag").limit(200)
+    return e.groupBy(F.translate(F.lower(F.concat("event_type", F.lit("_"), "user_id")), "_", "-").alias("tag")).agg(n().alias("k")).orderBy(F.desc("k"), "tag").limit(200)
 
 
 @query("A18_corpus_insights", "documents", sql=r"""
 SELECT w AS term, count(*) AS k FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents) WHERE len(w) >= 3 AND w NOT IN ('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','were','with') GROUP BY w ORDER BY k DESC, w LIMIT 50""")
 def _(d):
     words = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1)).alias("term"))
-    return words.where((F.length("term") >= 3) & ~c("term").isin(*T.STOP_WORDS)).groupBy("term").agg(n.alias("k")).orderBy(F.desc("k"), "term").limit(50)
+    return words.where((F.length("term") >= 3) & ~c("term").isin(*T.STOP_WORDS)).groupBy("term").agg(n().alias("k")).orderBy(F.desc("k"), "term").limit(50)
 
 
 @query("A19_distinct_values", "videos", sql="SELECT 'channel' AS field, channel_id AS value FROM videos GROUP BY channel_id UNION ALL SELECT 'playlist', playlist_id FROM videos GROUP BY playlist_id")
@@ -377,7 +377,7 @@ def _(v):
 
 @query("A45_counts", "documents", "events", sql="SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'errors', count(*) FROM events WHERE event_type = 'error'")
 def _(d, e):
-    return d.agg(n.alias("n")).select(F.lit("documents").alias("name"), "n").unionAll(e.where("event_type = 'error'").agg(n.alias("n")).select(F.lit("errors").alias("name"), "n"))
+    return d.agg(n().alias("n")).select(F.lit("documents").alias("name"), "n").unionAll(e.where("event_type = 'error'").agg(n().alias("n")).select(F.lit("errors").alias("name"), "n"))
 
 
 @query("A49_deduplicate", "relation_rows", sql="SELECT subject_id, object_id, min(chunk_id) AS chunk_id FROM relation_rows GROUP BY subject_id, object_id")
@@ -402,7 +402,7 @@ def _(m):
 
 @query("W02_first_and_last_mention", "mentions", sql="SELECT entity_id, min(said_at) AS first, max(said_at) AS last, count(*) AS k, arg_min(chunk_id, (said_at, chunk_id)) AS first_chunk FROM mentions GROUP BY entity_id")
 def _(m):
-    return m.groupBy("entity_id").agg(F.min("said_at").alias("first"), F.max("said_at").alias("last"), n.alias("k"), F.min_by("chunk_id", F.struct("said_at", "chunk_id")).alias("first_chunk"))
+    return m.groupBy("entity_id").agg(F.min("said_at").alias("first"), F.max("said_at").alias("last"), n().alias("k"), F.min_by("chunk_id", F.struct("said_at", "chunk_id")).alias("first_chunk"))
 
 
 @query("W03_first_contexts", "mentions", sql="SELECT entity_id, chunk_id, r FROM (SELECT entity_id, chunk_id, row_number() OVER (PARTITION BY entity_id ORDER BY said_at, chunk_id, position) AS r FROM mentions) WHERE r <= 3")
@@ -442,7 +442,7 @@ def _(s):
 WITH r AS (SELECT video_id, chunk_id, row_number() OVER (PARTITION BY video_id ORDER BY chunk_id) AS i, count(*) OVER (PARTITION BY video_id) AS k FROM chunks)
 SELECT video_id, chunk_id FROM r WHERE i = 1 OR i = k // 2 + 1 OR i = k""")
 def _(k):
-    count = k.groupBy("video_id").agg(n.alias("k"))
+    count = k.groupBy("video_id").agg(n().alias("k"))
     i = F.row_number().over(Window.partitionBy("video_id").orderBy("chunk_id"))
     return k.select("video_id", "chunk_id", i.alias("i")).join(count, "video_id").where("i = 1 or i = floor(k / 2) + 1 or i = k").select("video_id", "chunk_id")
 

@@ -10,7 +10,7 @@ from ..operators import resolution as RS
 from ..registry import query
 
 c = F.col
-n = F.count("*")
+n = lambda: F.count("*")
 r6 = lambda x: F.round(x, 6)
 
 
@@ -32,18 +32,18 @@ def _(e):
 @query("A22_group_confidence", "entities", sql="""
 SELECT name, round(greatest(0.0, least(1.0, avg(confidence) + 0.1 * log10(1 + count(*)) + 0.05 * (1.0 / count(DISTINCT type)))), 6) AS confidence FROM entities GROUP BY name""")
 def _(e):
-    return e.groupBy("name").agg(r6(S.group_confidence(F.avg("confidence"), n, 1.0 / F.count_distinct("type"))).alias("confidence"))
+    return e.groupBy("name").agg(r6(S.group_confidence(F.avg("confidence"), n(), 1.0 / F.count_distinct("type"))).alias("confidence"))
 
 
 @query("A23_groups_by_normalised_name", "entities", sql="SELECT lower(trim(name)) AS key, count(*) AS k, list_sort(list(DISTINCT description)) AS aliases FROM entities GROUP BY 1")
 def _(e):
-    return e.groupBy(T.normalize_entity_name(c("name")).alias("key")).agg(n.alias("k"), F.array_sort(F.collect_set("description")).alias("aliases"))
+    return e.groupBy(T.normalize_entity_name(c("name")).alias("key")).agg(n().alias("k"), F.array_sort(F.collect_set("description")).alias("aliases"))
 
 
 @query("A24_relation_groups", "relation_rows", sql="SELECT lower(trim(subject_id)) AS s, lower(trim(object_id)) AS o, lower(trim(predicate)) AS p, round(avg(confidence), 6) AS confidence, count(*) AS k FROM relation_rows GROUP BY 1, 2, 3")
 def _(r):
     low = lambda x: F.lower(F.trim(x))
-    return r.groupBy(low("subject_id").alias("s"), low("object_id").alias("o"), low("predicate").alias("p")).agg(r6(F.avg("confidence")).alias("confidence"), n.alias("k"))
+    return r.groupBy(low("subject_id").alias("s"), low("object_id").alias("o"), low("predicate").alias("p")).agg(r6(F.avg("confidence")).alias("confidence"), n().alias("k"))
 
 
 @query("J12_blocking_candidates", "entities", sql=r"""
@@ -52,7 +52,7 @@ k AS (SELECT DISTINCT entity_id, unnest([nm, regexp_replace(nm, '[^a-z0-9]', '',
 s AS (SELECT a.entity_id, b.entity_id AS candidate, count(*) AS shared FROM k a JOIN k b USING (key) WHERE key <> '' AND a.entity_id <> b.entity_id GROUP BY ALL)
 SELECT 1 AS one, count(*) > 0 AS has_rows FROM s""")
 def _(e):
-    return RS.candidates(e, e).agg(F.lit(1).alias("one"), (n > 0).alias("has_rows"))
+    return RS.candidates(e, e).agg(F.lit(1).alias("one"), (n() > 0).alias("has_rows"))
 
 
 @query("J13_best_matches", "entities")
@@ -63,7 +63,7 @@ def _(e):
 @query("X25_canonical_predicates", "relation_rows", sql="""
 SELECT CASE predicate WHEN 'uses' THEN 'uses' WHEN 'related_to' THEN 'associated_with' END AS predicate, count(*) AS k FROM relation_rows WHERE predicate <> 'part_of' GROUP BY 1""")
 def _(r):
-    return RS.canonical_predicates(r, {"related_to": "associated_with", "part_of": "__DROP__"}, {"uses", "associated_with"}).groupBy("predicate").agg(n.alias("k"))
+    return RS.canonical_predicates(r, {"related_to": "associated_with", "part_of": "__DROP__"}, {"uses", "associated_with"}).groupBy("predicate").agg(n().alias("k"))
 
 
 @query("X26_allowed_type_pairs", "relations", "entities", sql="""
@@ -72,7 +72,7 @@ WHERE r.predicate <> 'uses' OR (a.type = 'ORGANIZATION' AND b.type IN ('TECHNOLO
 def _(r, e):
     typed = r.join(e.select(c("entity_id").alias("subject_id"), c("type").alias("subject_type")), "subject_id").join(e.select(c("entity_id").alias("object_id"), c("type").alias("object_type")), "object_id")
     rules = r.sparkSession.createDataFrame([("uses", "ORGANIZATION", "TECHNOLOGY"), ("uses", "ORGANIZATION", "CONCEPT")], "predicate string, subject_type string, object_type string")
-    return RS.allowed_type_pairs(typed, rules).groupBy("predicate", "subject_type", "object_type").agg(n.alias("k"))
+    return RS.allowed_type_pairs(typed, rules).groupBy("predicate", "subject_type", "object_type").agg(n().alias("k"))
 
 
 @query("X27_symmetric_ends", "relations", sql="SELECT CASE WHEN predicate = 'related_to' THEN least(subject_id, object_id) ELSE subject_id END AS subject_id, CASE WHEN predicate = 'related_to' THEN greatest(subject_id, object_id) ELSE object_id END AS object_id, predicate FROM relations")
@@ -103,4 +103,4 @@ def _(r, e):
 WITH p AS (SELECT a.entity_id AS a, b.entity_id AS b FROM entities a JOIN entities b ON lower(trim(a.name)) = lower(trim(b.name)) AND a.type = b.type AND a.entity_id < b.entity_id)
 SELECT e.name, e.type, count(*) AS members FROM entities e GROUP BY e.name, e.type HAVING count(*) > 1""")
 def _(e):
-    return e.groupBy(c("name"), "type").agg(n.alias("members")).where("members > 1")
+    return e.groupBy(c("name"), "type").agg(n().alias("members")).where("members > 1")

@@ -11,7 +11,7 @@ from ..registry import query
 from ..sources import exports as X
 
 c = F.col
-n = F.count("*")
+n = lambda: F.count("*")
 
 
 @query("K01_batch_insert", "orders", "lineitem", sql="SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
@@ -76,7 +76,7 @@ def _(k):
 
 @query("K12_clean_status", "chunks", sql="SELECT count(*) AS n, 0::BIGINT AS left_over FROM chunks")
 def _(k):
-    return ST.clear_status(k, "extraction", None).agg(n.alias("n"), F.count("extraction").alias("left_over"))
+    return ST.clear_status(k, "extraction", None).agg(n().alias("n"), F.count("extraction").alias("left_over"))
 
 
 @query("K14_partition_replace", "chunks", "documents", sql="SELECT video_id, chunk_id FROM chunks WHERE video_id NOT IN ('src1', 'src2') UNION ALL SELECT source, doc_id + 1000000 FROM documents WHERE source IN ('src1', 'src2')")
@@ -117,14 +117,14 @@ def _(e):
 
 @query("K28_latest_runs", "events", sql="SELECT event_type, user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS runs FROM events GROUP BY event_type, user_id")
 def _(e):
-    return e.groupBy("event_type", "user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), n.alias("runs"))
+    return e.groupBy("event_type", "user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), n().alias("runs"))
 
 
 @query("K29_prometheus_lines", "samples", sql="""SELECT name || '{user="' || label || '"} ' || count(*) AS line FROM samples GROUP BY name, label""")
 def _(s):
-    return X.prometheus_lines(s.groupBy("name", "label").agg(n.alias("value")).select("name", F.create_map(F.lit("user"), c("label").cast("string")).alias("labels"), "value"))
+    return X.prometheus_lines(s.groupBy("name", "label").agg(n().alias("value")).select("name", F.create_map(F.lit("user"), c("label").cast("string")).alias("labels"), "value"))
 
 
 @query("K16_transformation_log", "entities", sql="SELECT 'MERGE' AS operation, name AS target, count(*) - 1 AS merged FROM entities GROUP BY name HAVING count(*) > 1 UNION ALL SELECT 'CREATE', name, 0 FROM entities GROUP BY name HAVING count(*) = 1")
 def _(e):
-    return e.groupBy(c("name").alias("target")).agg((n - 1).alias("merged")).select(F.when(c("merged") > 0, "MERGE").otherwise("CREATE").alias("operation"), "target", "merged")
+    return e.groupBy(c("name").alias("target")).agg((n() - 1).alias("merged")).select(F.when(c("merged") > 0, "MERGE").otherwise("CREATE").alias("operation"), "target", "merged")
