@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import uuid
 from collections.abc import Iterator
 
@@ -45,8 +47,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(trim := ctypes.CDLL(libc), "malloc_trim"):
+        trim.malloc_trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most so many rows from now on in this session, unless it has set a number itself: a batch of
+    the default 10,000 long texts takes hundreds of MB in the JVM and again in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about ``limit`` bytes of ``column`` at most, or a single row."""
+    """Cuts batches so that each holds about ``limit`` bytes of ``column`` at most, or a single row.
+
+    At the end the process gives free memory back, as executors keep their Python workers for other tasks.
+    """
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -57,6 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         for a, b in zip(at, at[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    release_memory()
 
 
 def words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:

@@ -2,7 +2,7 @@
 
 Seeds: of all grams of GRAM words in a window, the one with the smallest hash is the window's anchor, so two equal
 windows have the same anchor. Anchors that occur once in the corpus rule their windows out. Extension: windows around
-the anchors that repeat are joined by a 128-bit hash of all their words, with their anchor; a run of neighbouring
+the anchors that repeat are joined by a 96-bit hash of all their words; a run of neighbouring
 windows that repeat is a maximal repeat, and its words go.
 """
 
@@ -17,11 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, hash_strings, mix, slices, words, written
+from .common import SLICE_BYTES, hash_strings, mix, slices, small_batches, words, written
 
 WINDOW = 35
 GRAM = 6
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Bytes of text that one pass over words takes at once.
+PART_BYTES = SLICE_BYTES // 2
 
 
 def run_hashes(h: np.ndarray, size: int, base: int = _BASES[0]) -> np.ndarray:
@@ -76,11 +78,13 @@ def anchors(h: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np.n
 
 def _seed_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, "text", PART_BYTES):
             h, at, _ = word_hashes(part.column("text"))
             _, place, g = anchors(h, at, window, gram)
-            doc = np.searchsorted(at, place, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(g[place].view(np.int64)), part.column("k1").take(pa.array(doc))], ["anchor", "k1"])
+            found = np.empty(len(place), [("doc", np.int64), ("anchor", np.uint64)])
+            found["doc"], found["anchor"] = np.searchsorted(at, place, "right") - 1, g[place]
+            found, times = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found["anchor"].view(np.int64)), part.column("k1").take(pa.array(found["doc"])), pa.array(times.astype(np.int32))], ["anchor", "k1", "times"])
 
     return run
 
@@ -101,11 +105,16 @@ def _unpack(column: pa.Array) -> pa.Array:
     return pa.array([d.decompress(x) for x in column.to_pylist()], pa.binary()).cast(pa.string())
 
 
-def _digest(flat: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(flat)).hexdigest()
+def _joined(flat: pa.Array, at: np.ndarray) -> pa.Array:
+    """The words of each text joined by one space."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat), " ")
 
 
-_WINDOWS = "k1 long, k2 long, copies long, n_words long, n_removed long, kept_sha256 string, packed binary, starts array<int>, w1 array<long>, w2 array<long>"
+def _digests(texts: pa.Array, wanted: np.ndarray) -> list[str | None]:
+    return [hashlib.sha256(x).hexdigest() if w else None for x, w in zip(texts.cast(pa.binary()).to_pylist(), wanted.tolist())]
+
+
+_WINDOWS = "k1 long, k2 long, copies long, n_words long, n_removed long, kept_sha256 string, packed binary, starts array<int>, w1 array<long>, w2 array<int>"
 
 
 def _window_rows(window: int, gram: int):
@@ -113,20 +122,22 @@ def _window_rows(window: int, gram: int):
     as nothing of it goes; so is one that occurs twice, all of which goes if a window fits into it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "packed", SLICE_BYTES // 4):
+        for part in slices(batches, "packed", PART_BYTES // 4):
             h, at, flat = word_hashes(_unpack(part.column("packed")))
             n = np.diff(at)
             low, _, _ = anchors(h, at, window, gram)
             seeds = np.unique(part.column("anchors").flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
             place = np.flatnonzero(np.isin(low, seeds) & (low != 0))
             begins = np.searchsorted(place, at).astype(np.int32)
-            w = [run_hashes(h, window, base)[place].view(np.int64) if len(place) else np.zeros(0, np.int64) for base in _BASES]
+            w1, w2 = (run_hashes(h, window, base)[place] if len(place) else np.zeros(0, np.uint64) for base in _BASES)
             copies = part.column("copies").to_numpy()
             candidate = np.diff(begins) > 0
             gone = (copies > 1) & (n >= window)
             open_ = candidate & ~gone
-            raw = flat.cast(pa.binary()).to_pylist()
-            sha = [None if o else _digest([] if g else raw[a:b]) for o, g, a, b in zip(open_.tolist(), gone.tolist(), at.tolist(), at[1:].tolist())]
+            del h, low
+            whole = flat.filter(pa.array(np.repeat(~open_ & ~gone, n)))
+            kept_at = np.concatenate(([0], np.cumsum(np.where(open_ | gone, 0, n))))
+            sha = _digests(_joined(whole, kept_at), ~open_)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(begins), x)
             start = place - np.repeat(at[:-1], np.diff(begins))
             yield pa.RecordBatch.from_arrays(
@@ -137,10 +148,10 @@ def _window_rows(window: int, gram: int):
                     pa.array(n),
                     pa.array(np.where(gone, n, 0), mask=open_),
                     pa.array(sha, pa.string()),
-                    pc.if_else(pa.array(open_), part.column("packed"), pa.scalar(None, pa.binary())),
+                    pa.array([x if o else None for x, o in zip(part.column("packed").to_pylist(), open_.tolist())], pa.binary()),
                     lists(pa.array(start.astype(np.int32))),
-                    lists(pa.array(w[0])),
-                    lists(pa.array(w[1])),
+                    lists(pa.array(w1.view(np.int64))),
+                    lists(pa.array((w2 >> np.uint64(32)).astype(np.uint32).view(np.int32))),
                 ],
                 [c.split()[0] for c in _WINDOWS.split(", ")],
             )
@@ -152,22 +163,17 @@ def _cut_rows(window: int, keep_text: bool):
     """What is left of each text once the words of its repeated windows are gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "packed", SLICE_BYTES // 4):
+        for part in slices(batches, "packed", PART_BYTES // 4):
             flat, at = words(_unpack(part.column("packed")))
-            raw = flat.cast(pa.binary()).to_pylist()
-            removed, sha, kept = [], [], []
-            for i, hits in enumerate(part.column("hits").to_pylist()):
-                a, b = int(at[i]), int(at[i + 1])
-                change = np.zeros(b - a + 1, np.int64)
-                if hits:
-                    np.add.at(change, hits, 1)
-                    np.add.at(change, np.array(hits) + window, -1)
-                stay = np.flatnonzero(np.cumsum(change[:-1]) == 0)
-                left = [raw[a + k] for k in stay.tolist()]
-                removed.append(b - a - len(left))
-                sha.append(_digest(left))
-                kept.append(b" ".join(left) if keep_text else None)
-            yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()).cast(pa.string())], ["k1", "k2", "n_words", "n_removed", "kept_sha256", "kept"])
+            hits = part.column("hits").fill_null([])
+            start = hits.flatten().to_numpy(zero_copy_only=False) + np.repeat(at[:-1], np.diff(hits.offsets.to_numpy()))
+            change = np.bincount(start, minlength=len(flat) + 1) - np.bincount(start + window, minlength=len(flat) + 1)
+            stay = np.cumsum(change[:-1]) == 0
+            kept_at = np.concatenate(([0], np.cumsum(stay)))[at]
+            left = _joined(flat.filter(pa.array(stay)), kept_at)
+            every = np.ones(len(left), bool)
+            kept = left if keep_text else pa.nulls(len(left), pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(np.diff(at)), pa.array(np.diff(at) - np.diff(kept_at)), pa.array(_digests(left, every)), kept], ["k1", "k2", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
@@ -181,12 +187,13 @@ def with_keys(docs: DataFrame, text: str = "text") -> DataFrame:
 def judged(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """(k1, k2, n_words, n_removed, kept_sha256, kept) per distinct text of ``docs`` (doc_id, text, k1, k2); kept is
     null where nothing or everything goes."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "k1", "k2")
     copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
     # seeds: anchors that are at two places at least, in one text or more
-    seeds = written(rows.mapInArrow(_seed_rows(window, gram), "anchor long, k1 long"), "anchors")
-    repeated = seeds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    found = seeds.join(repeated, "anchor").distinct().groupBy("k1").agg(F.collect_list("anchor").alias("anchors"))
+    seeds = written(rows.mapInArrow(_seed_rows(window, gram), "anchor long, k1 long, times int"), "anchors")
+    repeated = seeds.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    found = seeds.select("anchor", "k1").join(repeated, "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors"))
     # one row of each distinct text; k1 may stand for two texts by chance, which only adds anchors to look at
     chosen = copies.join(found, "k1", "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<long>")))
     texts = rows.mapInArrow(_packed, "doc_id long, k1 long, k2 long, packed binary").alias("r")
