@@ -241,3 +241,12 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     out = all_rows.select("vec_id", alone.alias("alone"), F.when(~alone, F.col("k1")).alias("k1"), F.when(~alone, F.col("k2")).alias("k2")).join(per_vector, ["k1", "k2"], "left")
     component = F.when(F.col("alone"), F.col("vec_id")).otherwise(F.col("c"))
     return out.select("vec_id", F.when(F.col("alone"), F.lit(0)).otherwise(F.col("n")).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+SQL = """
+WITH RECURSIVE u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id, vec_id AS c FROM u UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id WHERE r.c < l.b),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n USING (vec_id)
+"""

@@ -54,4 +54,4 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_score, op3_edit_fingerprint, op4_substring_dedup, op5_chat_format, op6_quality, op7_packing, op8_toxicity, op9_bpe, op10_simhash_near_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": embedding.SQL, "op4_substring_dedup": substring.SQL, "op5_chat_format": chat.SQL}

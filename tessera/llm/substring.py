@@ -234,3 +234,15 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     old = F.col(f"c{names.index(text)}")
     new = F.when(F.col("n_removed") == 0, old).otherwise(F.coalesce("kept", F.lit("")))
     return rows.join(found, ["k1", "k2"]).select(*[(new if n == text else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
+
+
+SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, greatest(0, len(w) - 34) + 1)) AS i, w FROM t),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM p),
+r AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM k JOIN r USING (h)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+s AS (SELECT doc_id, count(*) AS n_words, count(g.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (g.i IS NULL), '') AS kept FROM words LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN s USING (doc_id)
+"""
