@@ -26,6 +26,12 @@ def missing(x: Column) -> Column:
     return x.isNull() | (x.cast("string") == "")
 
 
+def _test(op: str, v: Any):
+    """A function of one Column, as higher-order functions take them."""
+    tests = {"==": lambda e: e == v, "in": lambda e: e.isin(*v), "rlike": lambda e: e.rlike(v), "$gt": lambda e: e > v, "$gte": lambda e: e >= v, "$lt": lambda e: e < v, "$lte": lambda e: e <= v}
+    return tests[op]
+
+
 def compile_query(spec: dict[str, Any], schema: StructType) -> Column:
     """A document-store filter as a Column: {field: value}, operators $eq $ne $in $nin $gt $gte $lt $lte $exists $regex $all
     $type, and $and $or $nor $not. $ne and $nin hold for null, and on arrays an operator holds if it does for any element.
@@ -44,20 +50,20 @@ def compile_query(spec: dict[str, Any], schema: StructType) -> Column:
         for op, v in want.items():
             match op:
                 case "$eq":
-                    parts.append(x.isNull() if v is None else each(lambda e, v=v: e == v))
+                    parts.append(x.isNull() if v is None else each(_test("==", v)))
                 case "$ne":
-                    parts.append(x.isNotNull() if v is None else ~each(lambda e, v=v: e == v))
+                    parts.append(x.isNotNull() if v is None else ~each(_test("==", v)))
                 case "$in":
-                    parts.append(each(lambda e, v=v: e.isin(*v)) | (x.isNull() if None in v else F.lit(False)) if v else F.lit(False))
+                    parts.append(each(_test("in", v)) | (x.isNull() if None in v else F.lit(False)) if v else F.lit(False))
                 case "$nin":
-                    parts.append(~each(lambda e, v=v: e.isin(*v)) if v else F.lit(True))
+                    parts.append(~each(_test("in", v)) if v else F.lit(True))
                 case "$gt" | "$gte" | "$lt" | "$lte":
-                    parts.append(each(lambda e, v=v, op=op: {"$gt": e > v, "$gte": e >= v, "$lt": e < v, "$lte": e <= v}[op]))
+                    parts.append(each(_test(op, v)))
                 case "$exists":
                     parts.append(x.isNotNull() if v else x.isNull())
                 case "$regex":
                     flags = "(?i)" if "i" in want.get("$options", "") else ""
-                    parts.append(each(lambda e, v=v: e.rlike(flags + v)))
+                    parts.append(each(_test("rlike", flags + v)))
                 case "$options":
                     pass
                 case "$all":

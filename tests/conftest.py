@@ -3,9 +3,10 @@ import sys
 
 import pytest
 
+HERE = os.path.dirname(os.path.abspath(__file__))
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH", "")) if x)
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, HERE]
 
 
 @pytest.fixture(scope="session")
