@@ -87,3 +87,38 @@ def recursive_split(docs: DataFrame, size: int = 1000, overlap: int = 100, key:
 def segment_join(segments: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
     """(key, text): a transcript's segments in order, joined by spaces."""
     return segments.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.trim(x[text])), " ").alias("text"))
+
+
+def semantic_pieces(text: str, share: float = 0.95, dim: int = 64) -> list[str]:
+    """Runs of sentences, cut where a sentence is least like the one before: at distances of the ``share`` percentile and
+    more. Likeness is the cosine of hashed word counts; a text whose sentences cannot be compared stays whole."""
+    import re
+    import zlib
+
+    import numpy as np
+
+    parts = [s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
+    if len(parts) < 3:
+        return [text] if text.strip() else []
+    x = np.zeros((len(parts), dim))
+    for i, s in enumerate(parts):
+        for w in re.findall(r"\w+", s.lower()):
+            x[i, zlib.crc32(w.encode()) % dim] += 1
+    norm = np.linalg.norm(x, axis=1)
+    x /= np.where(norm == 0, 1, norm)[:, None]
+    far = 1 - (x[1:] * x[:-1]).sum(1)
+    cuts = np.flatnonzero(far >= np.quantile(far, share)) + 1
+    return [" ".join(parts[a:b]) for a, b in zip([0, *cuts], [*cuts, len(parts)])]
+
+
+def semantic_split(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, piece, text) by semantic_pieces(), over whole texts in Arrow batches."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in zip(b.column(0), b.column(1).to_pylist()):
+                if found := semantic_pieces(t or ""):
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(found), b.schema.field(0).type), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], ["key", "piece", "text"])
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, piece int, text string").withColumnRenamed("key", key)
