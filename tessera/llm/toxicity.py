@@ -110,11 +110,12 @@ def word_evidence(model: dict[str, np.ndarray], flat: pa.Array) -> np.ndarray:
 
 
 def features(evidence: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Per text: evidence per word, strong positive evidence per word, and the square root of strong words per word."""
+    """Per text: evidence per word, strong positive evidence per word, the square root of strong words per word, strong
+    evidence in all up to a bound, and that of the strongest words alone, which ordinary texts lack at any length."""
     n = np.maximum(np.diff(at), 1)
     total = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[at])
     strong = np.clip(evidence - 1.5, 0, 6)
-    return np.stack([np.clip(total(np.clip(evidence, -2, 6)) / n, -1, 3), total(strong) / n, np.sqrt(total(strong > 0) / n), np.minimum(total(strong), 30) / 10], axis=1)
+    return np.stack([np.clip(total(np.clip(evidence, -2, 6)) / n, -1, 3), total(strong) / n, np.sqrt(total(strong > 0) / n), np.minimum(total(strong), 30) / 10, np.minimum(total(np.clip(evidence - 5, 0, 4)), 12) / 4], axis=1)
 
 
 def train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> dict[str, Any]:
@@ -138,7 +139,7 @@ def train(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> dict[str, A
         seen = counts[0] + counts[1] > 0
         return fit(every[seen], counts[0][seen], counts[1][seen])
 
-    x = np.zeros((len(texts), 4))
+    x = np.zeros((len(texts), 5))
     fold = np.zeros(len(texts), int)
     for c in (0, 1):
         fold[toxic == c] = np.arange(int((toxic == c).sum())) % FOLDS
