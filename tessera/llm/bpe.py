@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 from .pretoken import WordCache, gather, stretches
 
 NONE = np.int32(2**31 - 1)
@@ -198,6 +198,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
             at = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
 
@@ -238,4 +239,5 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

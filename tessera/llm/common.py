@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
 #: Bytes of text that one numpy pass takes at once; a longer single text makes a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -226,6 +226,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, held_out, key: str, text
 
 def with_scores(docs: DataFrame, model, scores, text: str) -> DataFrame:
     """The columns of ``docs``, then score (double) and predicted (int: 1 from 0.5 on)."""
+    small_batches(docs.sparkSession)
     kept = docs.drop("score", "predicted")
     names = [f"c{i}" for i in range(len(kept.columns))]
     at = kept.columns.index(text)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, local_forest, mix, slices
+from .common import connected_components, cut, local_forest, mix, slices, small_batches
 
 DIGITS = 128
 #: Steps of a walk for each character; a walk moves on at every other step, so two read most of a text to its end.
@@ -27,7 +27,7 @@ STEPS = 2
 END = 63
 #: Rows between two bounds of the order by id, as long as MAX_RANGES bounds suffice.
 RANGE, MAX_RANGES = 2048, 5000
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=4)
@@ -198,6 +198,7 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Rows are dealt by ranges of the id, and the first id of each range is also shown to the range before it.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("rank"))
     total = rows.count()
     ranges = int(min(max(1, -(-total // RANGE)), MAX_RANGES))

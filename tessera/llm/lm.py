@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, string_bytes, words, written
+from .common import mix, slices, small_batches, string_bytes, words, written
 
 CLASSES = 512
 #: Tokens with a class of their own; class 0 is the end of a text, whose token is the empty string.
@@ -231,6 +231,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out_column(key).alias("held_out"), F.col(text).cast("string").alias("text"))
     model, counts = fit(rows.where("not held_out").select("text"))
     parts = written(rare_rows(rows, spark.sparkContext.broadcast(model)).withColumn("row", F.monotonically_increasing_id()), "lm-rows")

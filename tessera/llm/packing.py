@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 from .pretoken import WordCache
 
 
@@ -84,6 +84,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", longest: int
     """
     assert longest & (longest - 1) == 0, "the longest sequence has a power of two of tokens"
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = load(path, pattern)
         for part in slices(batches):
