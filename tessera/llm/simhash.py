@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, local_forest, slices, string_bytes, words
+from .common import connected_components, cut, hash_strings, local_forest, mix, slices, small_batches, string_bytes, words, written
 
 #: Distinct fingerprints a leaf of the tree is meant to hold.
 LEAF = 1000
@@ -61,16 +61,19 @@ def fingerprint_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1), shingle).view(np.int64))], ["key", "fingerprint"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, fingerprint long")
 
 
-def fit_tree(sample: np.ndarray, depth: int, radius: int) -> list[tuple[int, int]]:
-    """A full binary vantage-point tree in heap order: (vantage point, boundary) of each inner node.
+def fit_tree(sample: np.ndarray, depth: int, radius: int, seed: int | None = None) -> list[tuple[int, int]]:
+    """A full binary vantage-point tree in heap order: (vantage point, boundary) of each inner node. Each seed gives other
+    vantage points, which need not be fingerprints of the sample.
 
     The boundary is near the median distance, where the fewest of the sample lie just outside of it, as those are
     what both sides have to hold.
     """
     tree: list[tuple[int, int]] = []
+    r = np.random.default_rng(seed)
     groups = [np.sort(sample)]
     for _ in range(depth):
         below = []
@@ -79,7 +82,7 @@ def fit_tree(sample: np.ndarray, depth: int, radius: int) -> list[tuple[int, int
                 tree.append((0, 32))
                 below += [g, g]
                 continue
-            point = int(g[len(g) // 2])
+            point = int(g[len(g) // 2]) if seed is None else int(r.integers(0, 1 << 64, dtype=np.uint64))
             d = np.bitwise_count(g ^ np.uint64(point)).astype(int)
             by = np.bincount(d, minlength=66 + radius)
             mid = int(np.median(d))
@@ -177,9 +180,127 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return rows.join(found, "fingerprint", "left").select(F.col("key").alias("doc_id"), hexadecimal(F.col("fingerprint")).alias("fingerprint"), F.when(F.col("key").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` that have the smallest key of their component, one row a key; rows with a null key stay."""
-    found = near_duplicates(docs, key, text, radius, shingle)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first.select(F.col("doc_id").alias(key)), key, "left_semi").dropDuplicates([key])
+# Near copies beyond the exact radius: candidates from a forest of vantage-point trees, verified by sketches
+
+#: One byte for each of so many bins of shingle hashes; two texts' share of equal bins estimates their Jaccard index.
+BINS = 128
+#: Trees without overlap: near copies share a leaf of one with a chance, so of TREES trees few of them share none.
+TREES, FOREST_LEAF = 10, 4000
+#: Bits at which two fingerprints of 3-word shingles are candidates for a Jaccard index of .8 of 5-word shingles.
+CANDIDATE_BITS = 13
+
+
+def sketches(texts: pa.Array, shingle: int = 5) -> np.ndarray:
+    """texts x BINS of uint8: the smallest hash of a text's word shingles in each bin, from 1 on; 0 for an empty bin. A text
+    of fewer words is one shingle."""
+    flat, at = words(texts, lower=True)
+    out = np.zeros((len(texts), BINS), np.uint8)
+    if not len(flat):
+        return out
+    enc = pc.dictionary_encode(flat)
+    h = hash_strings(enc.dictionary, 5)[enc.indices.to_numpy(zero_copy_only=False)]
+    n = np.diff(at)
+    rolled = np.zeros(len(h), np.uint64)
+    for k in range(shingle):
+        ahead = np.zeros(len(h), np.uint64)
+        ahead[: len(h) - k] = mix(h[k:] + np.uint64(k))
+        inside = np.arange(len(h)) + k < np.repeat(at[1:], n)
+        rolled += np.where(inside, ahead, np.uint64(0))
+    place = np.arange(len(h)) - np.repeat(at[:-1], n)
+    use = place <= np.repeat(np.maximum(n - shingle, 0), n)
+    g = mix(rolled[use])
+    slot = np.repeat(np.arange(len(texts)), n)[use] * BINS + (g % np.uint64(BINS)).astype(np.int64)
+    value = (g >> np.uint64(32)).astype(np.uint32)
+    low = np.full(len(texts) * BINS, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(low, slot, value)
+    # the low byte of the smallest hash, which its size does not tell
+    full = low != 0xFFFFFFFF
+    out.ravel()[full] = 1 + (mix(low[full].astype(np.uint64)) % np.uint64(255)).astype(np.uint8)
+    return out
+
+
+def estimated_jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    none = (a == 0) & (b == 0)
+    return ((a == b) & ~none).sum(1) / np.maximum(a.shape[1] - none.sum(1), 1)
+
+
+def sketch_links(fp: np.ndarray, sketch: np.ndarray, node: np.ndarray, bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the rows of a leaf that connects all candidates of enough similarity. Pairs that are connected already
+    are not compared, so a large group of near copies costs about one comparison a row once it has come together."""
+    label = np.arange(len(fp))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(fp), 256):
+        x, y = np.nonzero(np.bitwise_count(fp[i : i + 256, None] ^ fp[None, i:]) <= bits)
+        real = y > x
+        x, y = i + x[real], i + y[real]
+        for k in range(0, len(x), 50_000):
+            p, q = x[k : k + 50_000], y[k : k + 50_000]
+            apart = label[p] != label[q]
+            p, q = p[apart], q[apart]
+            near = estimated_jaccard(sketch[p], sketch[q]) >= similarity
+            if near.any():
+                p, q = p[near], q[near]
+                a.append(p)
+                b.append(q)
+                low, high = local_forest(label[p], label[q])
+                to = np.arange(len(fp))
+                to[low] = high
+                label = to[label]
+    p, q = local_forest(np.concatenate(a), np.concatenate(b))
+    return node[p], node[q]
+
+
+def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, similarity: float = 0.8, sketch_shingle: int = 5, trees: int = TREES, leaf: int = FOREST_LEAF, sample: int = SAMPLE) -> DataFrame:
+    """(key, component) of every row: links of near_duplicates(), and of texts whose 5-word shingles have an estimated
+    Jaccard index of ``similarity`` at least.
+
+    The first kind is exact. For the second, fingerprints are sharded by ``trees`` trees and compared inside leaves up
+    to CANDIDATE_BITS; estimates from BINS bins have a standard error of .035 near .8. Rows with a null key have a null
+    component. Equal texts are one row from the start.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            s = sketches(part.column(1), sketch_shingle)
+            at = pa.py_buffer((np.arange(len(s) + 1) * BINS).astype(np.int32))
+            packed = pa.Array.from_buffers(pa.binary(), len(s), [None, at, pa.py_buffer(s)])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1), shingle).view(np.int64)), packed], ["key", "fingerprint", "sketch"])
+
+    rows = written(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, fingerprint long, sketch binary"), "sketches")
+    exact = components(rows, radius, sample=sample)
+    own = cut(rows.where("key is not null").groupBy("fingerprint", "sketch").agg(F.min("key").alias("key")))
+    total = own.count()
+    depth = min(max(0, int(np.ceil(np.log2(max(total, 1) / leaf)))), int(np.log2(max(sample // 8, 1))))
+    drawn = own.select("fingerprint").orderBy(F.xxhash64("fingerprint")).limit(min(sample, 64 << depth)).toPandas()["fingerprint"].to_numpy(np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64)
+    forest = spark.sparkContext.broadcast([fit_tree(drawn, depth, 0, t) if depth else [] for t in range(trees)])
+
+    def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column("fingerprint").to_numpy().view(np.uint64)
+            for t, tree in enumerate(forest.value):
+                at, to = route(fp, tree, 0)
+                yield pa.RecordBatch.from_arrays([pa.array((to + (t << 20)).astype(np.int32)), *[b.column(c).take(pa.array(at)) for c in ("fingerprint", "sketch", "key")]], ["leaf", "fingerprint", "sketch", "key"])
+
+    def link(t: pa.Table) -> pa.Table:
+        fp = t.column("fingerprint").to_numpy().view(np.uint64)
+        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(fp), BINS)
+        a, b = sketch_links(fp, s, t.column("key").to_numpy(), CANDIDATE_BITS, similarity)
+        return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
+
+    similar = own.select("fingerprint", "sketch", "key").mapInArrow(to_leaves, "leaf int, fingerprint long, sketch binary, key long").groupBy("leaf").applyInArrow(link, "src long, dst long")
+    # a row's key, the smallest key of its text, and the smallest key within the radius are one group
+    named = rows.where("key is not null").select("key", "fingerprint", "sketch")
+    same = named.join(own.select("fingerprint", "sketch", F.col("key").alias("first")), ["fingerprint", "sketch"]).select(F.col("key").alias("src"), F.col("first").alias("dst"))
+    close = own.join(exact, "fingerprint").select(F.col("key").alias("src"), F.col("component").alias("dst"))
+    found = connected_components(similar.unionByName(same).unionByName(close)).withColumnRenamed("node", "key")
+    return rows.select("key").join(found, "key", "left").select("key", F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that have the smallest key of their component by near_documents(), one row a key; rows with a
+    null key stay."""
+    first = near_documents(docs, key, text, radius, shingle, similarity).where("key = component").select("key").distinct()
+    kept = docs.join(first.select(F.col("key").alias(key)), key, "left_semi").dropDuplicates([key])
     return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))

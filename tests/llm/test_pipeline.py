@@ -42,7 +42,7 @@ def test_stages_against_their_operators(spark, tables):
         said = {r.doc_id: r.predicted for r in module.classify(before, labels).collect()}
         assert rows(after) == [r for r in rows(before) if said[r[0]] == want]
         assert 0 < after.count() < before.count()
-    root = {r.doc_id: r.component_id for r in simhash.near_duplicates(good).collect()}
+    root = {r.key: r.component for r in simhash.near_documents(good).collect()}
     firsts = {k for k, c in root.items() if k == c}
     assert {r[0] for r in rows(single)} == firsts | {k for k in root if k is None}
     assert len(rows(single)) == len({r[0] for r in rows(single)})

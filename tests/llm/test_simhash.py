@@ -55,3 +55,58 @@ def test_tree_loses_no_pair(spark, radius):
     by = {v: i for i, v in enumerate(fp.view(np.int64).tolist())}
     got = {by[x.fingerprint]: x.component for x in simhash.components(df, radius, leaf=20).collect()}
     assert got == want
+
+
+def shingles(text, k=5):
+    w = WORD.findall(lower(text or ""))
+    return {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(seed, n=150):
+    """Texts, and copies of them with ever more words changed."""
+    r = np.random.default_rng(seed)
+    word = lambda: f"w{r.integers(4000)}"
+    rows = []
+    for i in range(n):
+        w = [word() for _ in range(int(r.choice([60, 200, 500])))]
+        rows.append((1000 * i, " ".join(w), "en", "s", 1))
+        for k in range(3):
+            v = list(w)
+            for j in r.choice(len(w), max(1, int(len(w) * r.choice([0.005, 0.01, 0.03, 0.1]))), replace=False):
+                v[j] = word()
+            rows.append((1000 * i + 1 + k, " ".join(v), "en", "s", 1))
+    return rows
+
+
+def test_near_documents_against_brute_force(spark):
+    rows = edited(1) + [(500_000, None, "", "", 0), (500_001, "", "", "", 0), (None, "x y", "", "", 0), (500_002, "x y", "", "", 0), (500_002, "x y", "", "", 0)]
+    got = simhash.near_documents(documents(spark, rows), leaf=60).collect()
+    assert len(got) == len(rows)
+    c = {r.key: r.component for r in got}
+    assert c[None] is None and c[500_001] == 500_000 and c[500_002] == 500_002
+    s = {k: shingles(t) for k, t, *_ in rows if k is not None}
+    sure = [(a, b) for i in range(150) for a, b in combinations([1000 * i + k for k in range(4)], 2) if jaccard(s[a], s[b]) >= 0.88]
+    assert len(sure) > 150 and np.mean([c[a] == c[b] for a, b in sure]) >= 0.95
+    roots_ = roots([k for k in s], [(a, b) for i in range(150) for a, b in combinations([1000 * i + k for k in range(4)], 2) if jaccard(s[a], s[b]) >= 0.65])
+    assert all(roots_[k] == roots_[v] for k, v in c.items() if k is not None and k < 500_000)
+
+
+def test_sketches_estimate_the_index():
+    import pyarrow as pa
+
+    rows = edited(2, 60)
+    s = simhash.sketches(pa.array([t for _, t, *_ in rows]))
+    error = [simhash.estimated_jaccard(s[i : i + 1], s[j : j + 1])[0] - jaccard(shingles(rows[i][1]), shingles(rows[j][1])) for i, j in combinations(range(40), 2)]
+    assert np.abs(error).max() < 0.2 and np.sqrt(np.mean(np.square(error))) < 0.05
+    assert not simhash.sketches(pa.array([None, "", " "])).any()
+
+
+def test_one_of_each_keeps_clean_rows(spark):
+    rows = edited(3, 60)
+    kept = {r.doc_id for r in simhash.one_of_each(documents(spark, rows)).collect()}
+    assert {r[0] for r in rows if r[0] % 1000 == 0} <= kept
+    assert len(kept) < len(rows)
