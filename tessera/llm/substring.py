@@ -22,8 +22,10 @@ from .common import SLICE_BYTES, hash_strings, mix, slices, small_batches, words
 WINDOW = 35
 GRAM = 6
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Windows with at least 1 / MOST_FREQUENT of all rows are joined by a broadcast of 12 bytes each.
+MOST_FREQUENT = 50_000
 #: Bytes of text that one pass over words takes at once.
-PART_BYTES = SLICE_BYTES // 2
+PART_BYTES = SLICE_BYTES
 
 
 def run_hashes(h: np.ndarray, size: int, base: int = _BASES[0]) -> np.ndarray:
@@ -201,8 +203,15 @@ def judged(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: b
     held = written(one.select("r.k1", "r.k2", "copies", "packed", "anchors").mapInArrow(_window_rows(window, gram), _WINDOWS).withColumn("row", F.monotonically_increasing_id()), "windows")
     # extension: windows that start at two places at least
     at = held.where(F.size("starts") > 0).select("row", "copies", F.col("packed").isNotNull().alias("open"), F.explode(F.arrays_zip("starts", "w1", "w2")).alias("x")).select("row", "copies", "open", "x.starts", "x.w1", "x.w2")
-    twice = at.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2")
-    hits = at.where("open").join(twice, ["w1", "w2"]).groupBy("row").agg(F.collect_list("starts").alias("hits"))
+    total = held.agg(F.sum(F.size("starts"))).first()[0] or 0
+    twice = at.groupBy("w1", "w2").agg(F.sum("copies").alias("n"), F.count("*").alias("rows")).where("n > 1")
+    # windows of so many rows that one task should not have them all: there are at most MOST_FREQUENT, and they are sent
+    # to all executors; their rows get keys of their own in the join, so no key of it is large
+    many = F.col("rows") * MOST_FREQUENT >= max(total, MOST_FREQUENT * 100)
+    frequent = twice.where(many).select("w1", "w2", F.lit(True).alias("frequent"))
+    rare = twice.where(~many).select("w1", "w2", F.lit(True).alias("rare"))
+    known = at.where("open").join(F.broadcast(frequent), ["w1", "w2"], "left").withColumn("w1", F.when(F.col("frequent"), F.xxhash64("row", "starts")).otherwise(F.col("w1")))
+    hits = known.join(rare, ["w1", "w2"], "left").where("frequent or rare").groupBy("row").agg(F.collect_list("starts").alias("hits"))
     cut = held.where("packed is not null").select("row", "k1", "k2", "packed").join(hits, "row", "left").select("k1", "k2", "packed", "hits").mapInArrow(_cut_rows(window, keep_text), "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, kept string")
     done = held.where("packed is null").select("k1", "k2", "n_words", "n_removed", "kept_sha256", F.lit(None).cast("string").alias("kept"))
     # repeated rows of one id and text give one result each; they are equal

@@ -47,6 +47,14 @@ def test_brute_force(spark, rows):
     assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == kept
 
 
+def test_frequent_windows_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(substring, "MOST_FREQUENT", 1000)
+    base = passages(3)
+    shared = base[5][1] if len(base[5][1].split()) > 60 else " ".join(f"z{i}" for i in range(80))
+    rows = base + [(2000 + i, shared + f" tail{i}", "", "", 0) for i in range(130)]
+    assert sorted(map(tuple, substring.remove_repeats(documents(spark, rows)).collect()), key=str) == brute(rows, 35)[0]
+
+
 def test_small_windows_over_few_words(spark):
     r = random.Random(9)
     rows = [(i, " ".join(r.choice("abc") for _ in range(r.choice([0, 3, 8, 20]))), "", "", 0) for i in range(60)]
