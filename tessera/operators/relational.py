@@ -38,15 +38,6 @@ def degrees(edges: DataFrame, src: str = "subject_id", dst: str = "object_id") -
     return edges.select(F.explode(F.array(src, dst)).alias("entity_id")).groupBy("entity_id").agg(F.count("*").alias("degree"))
 
 
-def nearest_rank(values: str, share: float) -> Column:
-    """sorted[int(n * share)], the last value beyond it: an exact percentile by index, which shuffles one value a row.
-
-    It gathers a group's values in one array; use it for groups of bounded size.
-    """
-    a = F.array_sort(F.collect_list(values))
-    return F.element_at(a, F.least(F.floor(F.size(a) * share).cast("int") + 1, F.size(a)))
-
-
 def merge(target: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """The target with changes by key: changed columns win, unmatched changes are inserted."""
     names = [c for c in target.columns if c not in key]

@@ -46,13 +46,9 @@ def _(r):
     return r.groupBy(low("subject_id").alias("s"), low("object_id").alias("o"), low("predicate").alias("p")).agg(r6(F.avg("confidence")).alias("confidence"), n().alias("k"))
 
 
-@query("J12_blocking_candidates", "entities", sql=r"""
-WITH w AS (SELECT entity_id, trim(lower(name)) AS nm FROM entities), l AS (SELECT entity_id, nm, list_filter(string_split(nm, ' '), lambda x: x <> '' AND NOT list_contains(['a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','were','with'], x)) AS ws FROM w),
-k AS (SELECT DISTINCT entity_id, unnest([nm, regexp_replace(nm, '[^a-z0-9]', '', 'g'), CASE WHEN len(ws) > 1 THEN list_aggregate(list_transform(ws, lambda x: x[1]), 'string_agg', '') ELSE '' END]) AS key FROM l),
-s AS (SELECT a.entity_id, b.entity_id AS candidate, count(*) AS shared FROM k a JOIN k b USING (key) WHERE key <> '' AND a.entity_id <> b.entity_id GROUP BY ALL)
-SELECT 1 AS one, count(*) > 0 AS has_rows FROM s""")
+@query("J12_blocking_candidates", "entities")
 def _(e):
-    return RS.candidates(e, e).agg(F.lit(1).alias("one"), (n() > 0).alias("has_rows"))
+    return RS.candidates(e, e)
 
 
 @query("J13_best_matches", "entities")
