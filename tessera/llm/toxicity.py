@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, logistic, sigmoid, slices, string_bytes, words
+from .common import labelled_sample, logistic, sigmoid, string_bytes, with_scores, words
 
 ORDER = 8
 DISCOUNT = 0.75
@@ -171,8 +171,6 @@ def score(docs: DataFrame, model: dict[str, Any], text: str = "text") -> DataFra
     A null, empty or wordless text has no evidence and gets the score of that; repeated rows get equal scores; an
     empty table stays empty. The columns of ``docs`` pass through, but a clashing score or predicted is replaced.
     """
-    from .common import with_scores
-
     return with_scores(docs, docs.sparkSession.sparkContext.broadcast(model), scores, text)
 
 

@@ -1,5 +1,3 @@
-import os
-
 import pytest
 from helpers import awkward, documents
 
