@@ -15,6 +15,11 @@ from .common import slices, small_batches
 from .pretoken import WordCache
 
 
+#: The public splitting pattern with its alternatives in another order: words come first, as most matches are words. No
+#: two alternatives but the last two can begin at one place, so the matches are the same.
+SPLIT = r""" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @lru_cache(maxsize=2)
 def load(path: str | None = None, pattern: str | None = None) -> WordCache:
     """ids by the tokenizers library, which gets each distinct word once; special strings in a text are ordinary text."""
@@ -27,7 +32,7 @@ def load(path: str | None = None, pattern: str | None = None) -> WordCache:
     t = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
 
-    return WordCache(pattern or public_tokenizers.PATTERN, WordEncoder(t))
+    return WordCache(pattern or SPLIT, WordEncoder(t))
 
 
 class WordEncoder:
