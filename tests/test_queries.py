@@ -21,7 +21,11 @@ def test_sql(spark, con, name):
     same(registry.queries()[name](spark, FOLDER), con, SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
+#: Iterative queries of many small jobs; tests/test_graph.py has their operators on small graphs.
+SLOW = set() if os.environ.get("TEST_SLOW") else {"G02_louvain", "G03_leiden", "G05_label_propagation", "G07_multi_resolution"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL) - SLOW))
 def test_rows(spark, name):
     assert registry.queries()[name](spark, FOLDER).count() > 0
 
