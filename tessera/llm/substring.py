@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, hash_strings, mix, slices, small_batches, words, written
+from .common import SLICE_BYTES, cut, hash_strings, mix, slices, small_batches, words, written
 
 WINDOW = 35
 GRAM = 6
@@ -229,7 +229,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     join: all windows of a text that occurs twice repeat.
     """
     rows = with_keys(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    found = judged(rows, window, gram)
+    # written first, so that the join may split the rows of a large group of copies
+    found = cut(judged(rows, window, gram).drop("kept"))
     return rows.select("doc_id", "k1", "k2").join(found, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
