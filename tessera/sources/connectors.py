@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 #: Tables that all pipelines share; all others are a pipeline's own.
-SYSTEM_TABLES = frozenset({"graphrag_runs", "pipeline_input_filters", "quality_metrics", "transformation_logs", "prompts"})
+SYSTEM_TABLES = frozenset({"runs", "pipeline_input_filters", "quality_metrics", "transformation_logs", "prompts"})
 
 
 def resolve(name: str, system: str, own: str) -> str:
