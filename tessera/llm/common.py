@@ -30,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         import tempfile
 
         got = tempfile.mkdtemp(prefix="tessera-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(got)
     return got
 
