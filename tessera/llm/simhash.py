@@ -180,23 +180,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return rows.join(found, "fingerprint", "left").select(F.col("key").alias("doc_id"), hexadecimal(F.col("fingerprint")).alias("fingerprint"), F.when(F.col("key").isNotNull(), F.col("component")).alias("component_id"))
 
 
-# Near copies beyond the exact radius: candidates from a forest of vantage-point trees, verified by sketches
+# Near copies beyond the exact radius: candidates share a band of minimal hashes, and are verified by sketches
 
 #: One byte for each of so many bins of shingle hashes; two texts' share of equal bins estimates their Jaccard index.
 BINS = 512
-#: Trees without overlap: near copies share a leaf of one with a chance, so of TREES trees few of them share none.
-TREES, FOREST_LEAF = 10, 4000
+#: A band is SLOTS minimal hashes. Texts of Jaccard index j share one of the BANDS bands with a chance of
+#: 1 - (1 - j ** SLOTS) ** BANDS, .998 at .8, however many other texts there are.
+BANDS, SLOTS = 16, 5
+#: Rows that are compared with each other in one piece; a band of more rows is compared in pairs of blocks.
+BAND_ROWS = 4000
 #: Bits at which two fingerprints of 3-word shingles are candidates for a Jaccard index of .8 of 5-word shingles.
 CANDIDATE_BITS = 13
+#: For each slot, the order in which bins are looked at until one is not empty.
+_ORDER = np.random.default_rng(23).permuted(np.tile(np.arange(BINS, dtype=np.int32), (BANDS * SLOTS, 1)), axis=1)
+#: The value of a bin without shingles.
+_EMPTY = 0xFFFFFFFF
 
 
-def sketches(texts: pa.Array, shingle: int = 5) -> np.ndarray:
-    """texts x BINS of uint8: the smallest hash of a text's word shingles in each bin, from 1 on; 0 for an empty bin. A text
-    of fewer words is one shingle."""
+def lowest(texts: pa.Array, shingle: int = 5) -> np.ndarray:
+    """texts x BINS of uint32: the smallest hash of a text's word shingles in each bin, _EMPTY without one. A text of fewer
+    words is one shingle."""
     flat, at = words(texts, lower=True)
-    out = np.zeros((len(texts), BINS), np.uint8)
+    low = np.full(len(texts) * BINS, _EMPTY, np.uint32)
     if not len(flat):
-        return out
+        return low.reshape(-1, BINS)
     enc = pc.dictionary_encode(flat)
     h = hash_strings(enc.dictionary, 5)[enc.indices.to_numpy(zero_copy_only=False)]
     n = np.diff(at)
@@ -211,37 +218,76 @@ def sketches(texts: pa.Array, shingle: int = 5) -> np.ndarray:
     g = mix(rolled[use])
     slot = np.repeat(np.arange(len(texts)), n)[use] * BINS + (g % np.uint64(BINS)).astype(np.int64)
     value = (g >> np.uint64(32)).astype(np.uint32)
-    low = np.full(len(texts) * BINS, 0xFFFFFFFF, np.uint32)
     np.minimum.at(low, slot, value)
+    return low.reshape(-1, BINS)
+
+
+def to_sketches(low: np.ndarray) -> np.ndarray:
+    """uint8 of each bin, from 1 on; 0 for an empty bin."""
+    out = np.zeros(low.shape, np.uint8)
     # the low byte of the smallest hash, which its size does not tell
-    full = low != 0xFFFFFFFF
-    out.ravel()[full] = 1 + (mix(low[full].astype(np.uint64)) % np.uint64(255)).astype(np.uint8)
+    full = low != _EMPTY
+    out[full] = 1 + (mix(low[full].astype(np.uint64)) % np.uint64(255)).astype(np.uint8)
     return out
 
 
+def sketches(texts: pa.Array, shingle: int = 5) -> np.ndarray:
+    return to_sketches(lowest(texts, shingle))
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """texts x BANDS of int64: a hash of SLOTS minimal hashes each. A slot takes the first bin in its order that is not empty,
+    so two texts agree in it with the chance of their Jaccard index, also where most bins are empty."""
+    pick = np.tile(_ORDER[:, 0], (len(low), 1))
+    row, slot = np.nonzero((low[np.arange(len(low))[:, None], pick] == _EMPTY) & (low != _EMPTY).any(1)[:, None])
+    for k in range(1, BINS):
+        if not len(row):
+            break
+        pick[row, slot] = _ORDER[slot, k]
+        still = low[row, _ORDER[slot, k]] == _EMPTY
+        row, slot = row[still], slot[still]
+    value = mix(low[np.arange(len(low))[:, None], pick].astype(np.uint64) << np.uint64(9) | pick.astype(np.uint64)).reshape(-1, BANDS, SLOTS)
+    out = np.tile(np.arange(BANDS, dtype=np.uint64), (len(low), 1))
+    for k in range(SLOTS):
+        out = mix(out * np.uint64(31) + value[:, :, k])
+    return out.view(np.int64)
+
+
 def estimated_jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     none = (a == 0) & (b == 0)
     return ((a == b) & ~none).sum(1) / np.maximum(a.shape[1] - none.sum(1), 1)
 
 
-def have_partners(fp: np.ndarray, bits: int) -> np.ndarray:
-    """Whether each row of a leaf has another one within so many bits."""
-    out = np.zeros(len(fp), bool)
-    for i in range(0, len(fp), 256):
-        near = np.bitwise_count(fp[i : i + 256, None] ^ fp[None, :]) <= bits
-        out[i : i + 256] = near.sum(1) > 1
-    return out
-
-
-def sketch_links(fp: np.ndarray, sketch: np.ndarray, node: np.ndarray, bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """A forest over the rows of a leaf that connects all candidates of enough similarity. Pairs that are connected already
-    are not compared, so a large group of near copies costs about one comparison a row once it has come together."""
-    label = np.arange(len(fp))
+def candidates(fp: np.ndarray, band: np.ndarray, half: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, sorted by band, that share it and are within so many bits; of a pair of two blocks (halves 0 and 1)
+    those across, while a half of 2 is compared with itself."""
+    at, ahead = np.arange(len(fp)), 1
+    p, q, size = [], [], 0
+    while True:
+        at = at[at + ahead < len(fp)]
+        at = at[band[at] == band[at + ahead]]
+        if not len(at):
+            break
+        to = at + ahead
+        near = (np.bitwise_count(fp[at] ^ fp[to]) <= bits) & ((half[at] == 2) | (half[at] != half[to]))
+        p.append(at[near])
+        q.append(to[near])
+        size += len(p[-1])
+        if size > 20_000:
+            yield np.concatenate(p), np.concatenate(q)
+            p, q, size = [], [], 0
+        ahead += 1
+    if size:
+        yield np.concatenate(p), np.concatenate(q)
+
+
+def sketch_links(fp: np.ndarray, sketch: np.ndarray, node: np.ndarray, band: np.ndarray, half: np.ndarray, bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the nodes of rows, sorted by band, that connects all candidates of enough similarity. Pairs that are
+    connected already are not compared, so a large group of near copies costs about one comparison a row once it has
+    come together."""
+    nodes, label = np.unique(node, return_inverse=True)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(0, len(fp), 256):
-        x, y = np.nonzero(np.bitwise_count(fp[i : i + 256, None] ^ fp[None, i:]) <= bits)
-        real = y > x
-        x, y = i + x[real], i + y[real]
+    for x, y in candidates(fp, band, half, bits):
         for k in range(0, len(x), 20_000):
             p, q = x[k : k + 20_000], y[k : k + 20_000]
             apart = label[p] != label[q]
@@ -249,61 +295,57 @@ def sketch_links(fp: np.ndarray, sketch: np.ndarray, node: np.ndarray, bits: int
             near = estimated_jaccard(sketch[p], sketch[q]) >= similarity
             if near.any():
                 p, q = p[near], q[near]
-                a.append(p)
-                b.append(q)
+                a.append(node[p])
+                b.append(node[q])
                 low, high = local_forest(label[p], label[q])
-                to = np.arange(len(fp))
+                to = np.arange(len(nodes))
                 to[low] = high
                 label = to[label]
-    p, q = local_forest(np.concatenate(a), np.concatenate(b))
-    return node[p], node[q]
+    return local_forest(np.concatenate(a), np.concatenate(b))
 
 
-def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, similarity: float = 0.8, sketch_shingle: int = 5, trees: int = TREES, leaf: int = FOREST_LEAF, sample: int = SAMPLE) -> DataFrame:
+def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, similarity: float = 0.8, sketch_shingle: int = 5, leaf: int = BAND_ROWS, sample: int = SAMPLE) -> DataFrame:
     """(key, component) of every row: links of near_duplicates(), and of texts whose 5-word shingles have an estimated
     Jaccard index of ``similarity`` at least.
 
-    The first kind is exact. For the second, fingerprints are sharded by ``trees`` trees and compared inside leaves up
-    to CANDIDATE_BITS; only rows that have a partner there are dealt again with their sketches. Estimates from BINS bins
-    have a standard error of .018 at most near .8, and less for texts of fewer shingles than bins. Rows with a null key
-    have a null component. Equal texts are one row from the start.
+    The first kind is exact. For the second, texts that share a band are candidates, whose number of rows does not
+    change the chance to share one; only bands of two rows or more are dealt with sketches, in pieces of about ``leaf``
+    rows. A band of more rows is compared whole, in pairs of blocks. Candidates are up to CANDIDATE_BITS apart.
+    Estimates from BINS bins have a standard error of .018 at most near .8, and less for texts of fewer shingles than
+    bins. Rows with a null key have a null component. Equal texts are one row from the start.
     """
     spark = docs.sparkSession
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            s = sketches(part.column(1), sketch_shingle)
-            at = pa.py_buffer((np.arange(len(s) + 1) * BINS).astype(np.int32))
-            packed = pa.Array.from_buffers(pa.binary(), len(s), [None, at, pa.py_buffer(s)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1), shingle).view(np.int64)), packed], ["key", "fingerprint", "sketch"])
+            low = lowest(part.column(1), sketch_shingle)
+            at = pa.py_buffer((np.arange(len(low) + 1) * BINS).astype(np.int32))
+            packed = pa.Array.from_buffers(pa.binary(), len(low), [None, at, pa.py_buffer(to_sketches(low))])
+            banded = pa.ListArray.from_arrays(pa.array((np.arange(len(low) + 1) * BANDS).astype(np.int32)), pa.array(band_keys(low).ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1), shingle).view(np.int64)), packed, banded], ["key", "fingerprint", "sketch", "bands"])
 
-    rows = written(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, fingerprint long, sketch binary"), "sketches")
+    rows = written(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, fingerprint long, sketch binary, bands array<long>"), "sketches")
     exact = components(rows, radius, sample=sample)
-    own = cut(rows.where("key is not null").groupBy("fingerprint", "sketch").agg(F.min("key").alias("key")))
-    total = own.count()
-    depth = min(max(0, int(np.ceil(np.log2(max(total, 1) / leaf)))), int(np.log2(max(sample // 8, 1))))
-    drawn = own.select("fingerprint").orderBy(F.xxhash64("fingerprint")).limit(min(sample, 64 << depth)).toPandas()["fingerprint"].to_numpy(np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64)
-    forest = spark.sparkContext.broadcast([fit_tree(drawn, depth, 0, t) if depth else [] for t in range(trees)])
-
-    def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = b.column("fingerprint").to_numpy().view(np.uint64)
-            for t, tree in enumerate(forest.value):
-                at, to = route(fp, tree, 0)
-                yield pa.RecordBatch.from_arrays([pa.array((to + (t << 20)).astype(np.int32)), *[c.take(pa.array(at)) for c in b.columns]], ["leaf", *b.schema.names])
-
-    def partners(t: pa.Table) -> pa.Table:
-        return pa.table({"key": t.column("key").filter(pa.array(have_partners(t.column("fingerprint").to_numpy().view(np.uint64), CANDIDATE_BITS)))})
+    own = cut(rows.where("key is not null").groupBy("fingerprint", "sketch", "bands").agg(F.min("key").alias("key")))
+    banded = own.select("key", F.explode("bands").alias("band"))
+    shared = cut(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    pieces = max(1, -(-int(shared.where(F.col("n") <= leaf).agg(F.sum("n")).first()[0] or 0) // leaf))
+    met = banded.join(shared, "band")
+    # small bands share pieces; of a large one, each row meets its own block and all others
+    small = met.where(F.col("n") <= leaf).select("key", "band", F.pmod(F.xxhash64("band"), F.lit(pieces)).alias("piece"), F.lit(2).alias("half"))
+    parts = F.ceil(F.col("n") / leaf)
+    block = met.where(F.col("n") > leaf).withColumn("me", F.pmod(F.xxhash64("key"), parts)).select("key", "band", "me", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    large = block.select("key", "band", F.xxhash64("band", F.least("me", "other"), F.greatest("me", "other")).alias("piece"), F.when(F.col("me") == F.col("other"), 2).otherwise((F.col("me") > F.col("other")).cast("int")).alias("half"))
 
     def link(t: pa.Table) -> pa.Table:
+        t = t.sort_by("band")
         fp = t.column("fingerprint").to_numpy().view(np.uint64)
         s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(fp), BINS)
-        a, b = sketch_links(fp, s, t.column("key").to_numpy(), CANDIDATE_BITS, similarity)
+        a, b = sketch_links(fp, s, t.column("key").to_numpy(), t.column("band").to_numpy(), t.column("half").to_numpy(), CANDIDATE_BITS, similarity)
         return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
 
-    paired = own.select("fingerprint", "key").mapInArrow(to_leaves, "leaf int, fingerprint long, key long").groupBy("leaf").applyInArrow(partners, "key long").distinct()
-    similar = own.join(paired, "key", "left_semi").select("fingerprint", "sketch", "key").mapInArrow(to_leaves, "leaf int, fingerprint long, sketch binary, key long").groupBy("leaf").applyInArrow(link, "src long, dst long")
+    similar = small.unionByName(large).join(own.select("fingerprint", "sketch", "key"), "key").groupBy("piece").applyInArrow(link, "src long, dst long")
     # a row's key, the smallest key of its text, and the smallest key within the radius are one group
     named = rows.where("key is not null").select("key", "fingerprint", "sketch")
     same = named.join(own.select("fingerprint", "sketch", F.col("key").alias("first")), ["fingerprint", "sketch"]).select(F.col("key").alias("src"), F.col("first").alias("dst"))

@@ -110,3 +110,24 @@ def test_one_of_each_keeps_clean_rows(spark):
     kept = {r.doc_id for r in simhash.one_of_each(documents(spark, rows)).collect()}
     assert {r[0] for r in rows if r[0] % 1000 == 0} <= kept
     assert len(kept) < len(rows)
+
+
+def test_recall_does_not_fall_with_the_number_of_rows(spark):
+    # as many rows a leaf is meant to hold to all rows as in about 30 GB
+    rows = edited(5, 500)
+    c = {r.key: r.component for r in simhash.near_documents(documents(spark, rows), leaf=1).collect()}
+    s = {k: shingles(t) for k, t, *_ in rows}
+    sure = [(a, b) for i in range(500) for a, b in combinations([1000 * i + k for k in range(4)], 2) if jaccard(s[a], s[b]) >= 0.88]
+    assert len(sure) > 500 and np.mean([c[a] == c[b] for a, b in sure]) >= 0.97
+    assert all(k // 1000 == v // 1000 for k, v in c.items())
+
+
+def test_texts_share_a_band_by_their_index():
+    import pyarrow as pa
+
+    rows = edited(6, 300)
+    keys = simhash.band_keys(simhash.lowest(pa.array([t for _, t, *_ in rows])))
+    s = [shingles(t) for _, t, *_ in rows]
+    near = [(4 * i + a, 4 * i + b) for i in range(300) for a, b in combinations(range(4), 2) if 0.75 <= jaccard(s[4 * i + a], s[4 * i + b]) <= 0.9]
+    assert len(near) > 50 and np.mean([(keys[a] == keys[b]).any() for a, b in near]) >= 0.98
+    assert not any((keys[4 * i] == keys[4 * i + 4]).any() for i in range(299))
