@@ -355,8 +355,15 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", rad
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that have the smallest key of their component by near_documents(), one row a key; rows with a
-    null key stay."""
-    first = near_documents(docs, key, text, radius, shingle, similarity).where("key = component").select("key").distinct()
-    kept = docs.join(first.select(F.col("key").alias(key)), key, "left_semi").dropDuplicates([key])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    """The rows of ``docs`` that have the smallest key of their component by near_documents(); rows with a null key stay.
+
+    A row is known by its key and a hash of its text: of rows equal in both one stays, while rows that only share a key
+    are documents of their own. Of a component's rows with the smallest key the one of the smallest hash stays.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, content = (names[docs.columns.index(c)] for c in (key, text))
+    rows = docs.toDF(*names).withColumn("row", F.when(F.col(own).isNotNull(), F.xxhash64(F.col(own).cast("long"), F.col(content).cast("string"))))
+    found = near_documents(rows, "row", content, radius, shingle, similarity).where("key is not null").distinct()
+    first = rows.where("row is not null").select("row", F.col(own).cast("long").alias("id")).distinct().join(found.withColumnRenamed("key", "row"), "row").groupBy("component").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    kept = rows.join(first, "row", "left_semi").dropDuplicates(["row"])
+    return kept.unionByName(rows.where("row is null")).select(*names).toDF(*docs.columns)

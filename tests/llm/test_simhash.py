@@ -113,7 +113,7 @@ def test_one_of_each_keeps_clean_rows(spark):
 
 
 def test_recall_does_not_fall_with_the_number_of_rows(spark):
-    # as many rows a leaf is meant to hold to all rows as in about 30 GB
+    # 2000 pieces to all rows; about 30 GB have 4000
     rows = edited(5, 500)
     c = {r.key: r.component for r in simhash.near_documents(documents(spark, rows), leaf=1).collect()}
     s = {k: shingles(t) for k, t, *_ in rows}
@@ -131,3 +131,10 @@ def test_texts_share_a_band_by_their_index():
     near = [(4 * i + a, 4 * i + b) for i in range(300) for a, b in combinations(range(4), 2) if 0.75 <= jaccard(s[4 * i + a], s[4 * i + b]) <= 0.9]
     assert len(near) > 50 and np.mean([(keys[a] == keys[b]).any() for a, b in near]) >= 0.98
     assert not any((keys[4 * i] == keys[4 * i + 4]).any() for i in range(299))
+
+
+def test_one_of_each_keeps_unrelated_texts_of_one_id(spark):
+    text = lambda a: " ".join(f"{a}{i}" for i in range(80))
+    rows = [(1, text("a"), "en", "s", 1), (1, text("b"), "en", "s", 1), (2, text("b"), "en", "s", 1), (3, text("a") + " end", "en", "s", 1), (4, text("c"), "en", "s", 1), (4, text("c"), "en", "s", 1)]
+    got = sorted((r.doc_id, r.text) for r in simhash.one_of_each(documents(spark, rows)).collect())
+    assert got == [(1, text("a")), (1, text("b")), (4, text("c"))]
