@@ -202,11 +202,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return w[:-1] / scale, float(w[-1] - (w[:-1] / scale * mean).sum())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, held_out, key: str, text: str, label: str, max_rows: int, max_bytes: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, held_out, key: str, text: str, label: str, max_rows: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Texts, labels (0 or 1) and weights of at most ``max_rows`` labelled rows of each class that are not held out.
 
     Rows are taken in the order of a hash of their id. A repeated label row counts once and the larger label holds.
-    Texts of more than ``max_bytes`` bytes are not in the sample. A weight is how many labelled rows a row stands for.
+    Texts are whole. A weight is how many labelled rows a row stands for.
     """
     marked = labels.select(F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)").groupBy("key").agg(F.max("label").alias("label"))
     marked = marked.where(~F.crc32(F.col("key").cast("string").cast("binary")).isNull()).withColumnRenamed("key", key).where(~held_out)
@@ -216,7 +216,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, held_out, key: str, text
         return pa.array([], pa.string()), np.zeros(0, int), np.zeros(0)
     chosen = picks[0] if len(picks) == 1 else picks[0].unionAll(picks[1])
     chosen = chosen.withColumnRenamed(key, "key")
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes)
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # at most 2 * max_rows ids of eight bytes are sent to the executors
     got = texts.join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("key").toArrow().combine_chunks()
     y = got.column("label").to_numpy().astype(int)

@@ -19,12 +19,9 @@ from .common import labelled_sample, sigmoid, string_bytes, with_scores
 CHUNK, STEP = 256, 224
 WIDTH, STRIDE = 12, 4
 EMBED, FILTERS, HIDDEN = 4, 24, 16
-#: The network is fitted on so many labelled rows of each class at most, chosen by a hash of their id, on texts of so
-#: many bytes at most, and on so many chunks of each. Scoring has no such bounds.
-MAX_ROWS = 3000
-MAX_BYTES = 1 << 15
-TRAIN_CHUNKS = 4
-EPOCHS = 12
+#: The network is fitted on all chunks of so many labelled rows of each class at most, chosen by a hash of their id.
+MAX_ROWS = 2500
+EPOCHS = 5
 SPOTS = (CHUNK - WIDTH) // STRIDE + 1
 
 
@@ -90,13 +87,9 @@ def train(texts: pa.Array, good: np.ndarray, weight: np.ndarray, seed: int = 7)
     r = np.random.default_rng(seed)
     x, count = chunks(texts)
     doc = np.repeat(np.arange(len(texts)), count)
-    # some chunks of each text, from anywhere in it
-    order = np.lexsort((r.random(len(doc)), doc))
-    pick = order[np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) < TRAIN_CHUNKS]
-    x, doc = np.ascontiguousarray(x[pick]), doc[pick]
     y = good[doc].astype(np.float32)
-    used = np.minimum(count, TRAIN_CHUNKS)
-    w = (weight[doc] / used[doc]).astype(np.float32)
+    # the chunks of a text weigh as much as those of any other of its class
+    w = (weight[doc] / count[doc]).astype(np.float32)
     # both classes weigh the same, so that 0.5 parts texts as likely under either
     for c in (0, 1):
         w[y == c] /= w[y == c].sum()
@@ -143,7 +136,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, held: Column, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> dict[str, Any]:
     """A model of the labelled rows that are not held out. Rows without a label of 0 or 1 are not used."""
-    return train(*labelled_sample(docs, labels, held, key, text, label, max_rows, MAX_BYTES))
+    return train(*labelled_sample(docs, labels, held, key, text, label, max_rows))
 
 
 def score(docs: DataFrame, model: dict[str, Any], text: str = "text") -> DataFrame:

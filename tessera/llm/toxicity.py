@@ -19,10 +19,8 @@ from .common import labelled_sample, logistic, sigmoid, string_bytes, with_score
 
 ORDER = 8
 DISCOUNT = 0.75
-#: The models are fitted on so many labelled rows of each class at most, chosen by a hash of their id, and on texts of
-#: so many bytes at most. Scoring has no such bounds.
-MAX_ROWS = 2500
-MAX_BYTES = 1 << 15
+#: The models are fitted on the whole texts of so many labelled rows of each class at most, chosen by a hash of their id.
+MAX_ROWS = 2200
 #: Parts of the sample that are scored by models of the other parts, so that the scale of evidence is that of new texts.
 FOLDS = 3
 
@@ -162,7 +160,7 @@ def scores(model: dict[str, Any], texts: pa.Array) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> dict[str, Any]:
     """A model of the labelled rows that are not held out. Rows without a label of 0 or 1 are not used."""
-    return train(*labelled_sample(docs, labels, held_out, key, text, label, max_rows, MAX_BYTES))
+    return train(*labelled_sample(docs, labels, held_out, key, text, label, max_rows))
 
 
 def score(docs: DataFrame, model: dict[str, Any], text: str = "text") -> DataFrame:

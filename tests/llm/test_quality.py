@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -71,3 +72,42 @@ def test_without_labels_or_rows(spark):
     assert {r.score for r in quality.classify(documents(spark, rows), none).collect()} == {1.0}
     lab = spark.createDataFrame([x[:3] for x in labels], "doc_id long, quality int, toxic int")
     assert quality.classify(documents(spark, []), lab).count() == 0
+
+
+def test_scores_match_plain_loops():
+    r = random.Random(5)
+    p = {k: v.astype(np.float64) for k, v in quality.start(3).items()}
+    p["b"] += 0.1
+    p["h"] -= 0.05
+    texts = ["", "a", "é" * 200, "".join(r.choice("ab \n日z") for _ in range(900))]
+
+    def chunk_logit(raw):
+        top = [-math.inf] * quality.FILTERS
+        for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+            patch = [p["E"][raw[at + i]][e] for i in range(quality.WIDTH) for e in range(quality.EMBED)]
+            for f in range(quality.FILTERS):
+                top[f] = max(top[f], sum(v * p["W"][i][f] for i, v in enumerate(patch)))
+        z = [max(t + b, 0) for t, b in zip(top, p["b"])]
+        a = [max(sum(z[f] * p["H"][f][k] for f in range(quality.FILTERS)) + p["h"][k], 0) for k in range(quality.HIDDEN)]
+        return sum(x * o for x, o in zip(a, p["o"])) + p["c"][0]
+
+    def score(text):
+        raw, logits = text.encode(), []
+        at = 0
+        while True:
+            logits.append(chunk_logit(raw[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0")))
+            if at + quality.CHUNK >= len(raw):
+                return 1 / (1 + math.exp(-sum(logits) / len(logits)))
+            at += quality.STEP
+
+    assert np.allclose(quality.scores(p, pa.array(texts + [None])), [score(t) for t in texts] + [score("")], atol=1e-9)
+
+
+def test_every_chunk_of_a_long_text_is_learned_from():
+    """What marks the bad texts is in their last chunks only, far behind the first 32 KB."""
+    r = random.Random(8)
+    plain = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = [plain(33_000) + ("$$$ " * 800 if i % 2 else "abc " * 800) for i in range(12)]
+    y = np.array([1 - i % 2 for i in range(12)])
+    p = quality.train(pa.array(texts), y, np.ones(12))
+    assert ((quality.scores(p, pa.array(texts)) >= 0.5) == (y == 1)).all()

@@ -84,3 +84,12 @@ def test_without_labels_or_rows(spark):
     assert {r.score for r in toxicity.classify(documents(spark, rows), none).collect()} == {0.0}
     lab = spark.createDataFrame([x[:3] for x in labels], "doc_id long, quality int, toxic int")
     assert toxicity.classify(documents(spark, []), lab).count() == 0
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """Every toxic text of the sample is longer than 32 KB."""
+    rows, labels = corpus(200, 6)
+    rows = [(i, t + " abc" * 9000 if tox else t, *x) for (i, t, *x), (_, _, tox, _) in zip(rows, labels)]
+    lab = spark.createDataFrame([x[:3] for x in labels], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(documents(spark, rows), lab, toxicity.held_out())
+    assert toxicity.scores(model, pa.array(["zorgh zorgha abc", "abc fed"]))[0] > 0.5 and "constant" not in model
