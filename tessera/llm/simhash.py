@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut, hash_strings, local_forest, mix, slices, small_batches, string_bytes, words, written
 
-#: Distinct fingerprints a leaf of the tree is meant to hold.
-LEAF = 1000
-#: The tree's top is fitted on so many fingerprints at most; every fingerprint is indexed and queried.
+#: Distinct fingerprints a leaf of the shipped tree is meant to hold; a task splits its leaves on by further vantage points,
+#: so a leaf of many more takes memory in proportion (16 bytes a fingerprint) and not their square.
+LEAF = 4000
+#: The tree's top is fitted on so many fingerprints at most; every fingerprint is indexed and queried. It has SAMPLE / 8
+#: leaves at most, which hold LEAF fingerprints up to 32 million of them, and a million each at 8 billion.
 SAMPLE = 100_000
 #: Spreads the bits of a byte over the bytes of a 64-bit word, so that eight counters add at once.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
@@ -182,17 +184,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 # Near copies beyond the exact radius: candidates share a band of minimal hashes, and are verified by sketches
 
-#: One byte for each of so many bins of shingle hashes; two texts' share of equal bins estimates their Jaccard index.
-BINS = 512
+#: Bins of shingle hashes. A sketch has two bits for each: whether it has a shingle, and a bit of the smallest hash in it.
+BINS = 4096
+#: Bins that the bands are picked from, each the union of neighbouring ones.
+BAND_BINS = 512
+SKETCH_BYTES = BINS // 4
 #: A band is SLOTS minimal hashes. Texts of Jaccard index j share one of the BANDS bands with a chance of
 #: 1 - (1 - j ** SLOTS) ** BANDS, .998 at .8, however many other texts there are.
 BANDS, SLOTS = 16, 5
 #: Rows that are compared with each other in one piece; a band of more rows is compared in pairs of blocks.
 BAND_ROWS = 4000
 #: Bits at which two fingerprints of 3-word shingles are candidates for a Jaccard index of .8 of 5-word shingles.
-CANDIDATE_BITS = 13
+CANDIDATE_BITS = 20
 #: For each slot, the order in which bins are looked at until one is not empty.
-_ORDER = np.random.default_rng(23).permuted(np.tile(np.arange(BINS, dtype=np.int32), (BANDS * SLOTS, 1)), axis=1)
+_ORDER = np.random.default_rng(23).permuted(np.tile(np.arange(BAND_BINS, dtype=np.int32), (BANDS * SLOTS, 1)), axis=1)
 #: The value of a bin without shingles.
 _EMPTY = 0xFFFFFFFF
 
@@ -223,12 +228,11 @@ def lowest(texts: pa.Array, shingle: int = 5) -> np.ndarray:
 
 
 def to_sketches(low: np.ndarray) -> np.ndarray:
-    """uint8 of each bin, from 1 on; 0 for an empty bin."""
-    out = np.zeros(low.shape, np.uint8)
-    # the low byte of the smallest hash, which its size does not tell
+    """texts x BINS / 32 of uint64: a bit for each bin that is not empty, then a bit of each bin's smallest hash, which its
+    size does not tell."""
     full = low != _EMPTY
-    out[full] = 1 + (mix(low[full].astype(np.uint64)) % np.uint64(255)).astype(np.uint8)
-    return out
+    value = full & (mix(low.astype(np.uint64)) & np.uint64(1)).astype(bool)
+    return np.packbits(np.concatenate((full, value), axis=1), axis=1).view(np.uint64)
 
 
 def sketches(texts: pa.Array, shingle: int = 5) -> np.ndarray:
@@ -238,9 +242,10 @@ def sketches(texts: pa.Array, shingle: int = 5) -> np.ndarray:
 def band_keys(low: np.ndarray) -> np.ndarray:
     """texts x BANDS of int64: a hash of SLOTS minimal hashes each. A slot takes the first bin in its order that is not empty,
     so two texts agree in it with the chance of their Jaccard index, also where most bins are empty."""
+    low = low.reshape(len(low), BAND_BINS, -1).min(2)
     pick = np.tile(_ORDER[:, 0], (len(low), 1))
     row, slot = np.nonzero((low[np.arange(len(low))[:, None], pick] == _EMPTY) & (low != _EMPTY).any(1)[:, None])
-    for k in range(1, BINS):
+    for k in range(1, BAND_BINS):
         if not len(row):
             break
         pick[row, slot] = _ORDER[slot, k]
@@ -254,8 +259,12 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def estimated_jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    none = (a == 0) & (b == 0)
-    return ((a == b) & ~none).sum(1) / np.maximum(a.shape[1] - none.sum(1), 1)
+    """Of the bins that either text fills, the share whose smallest hash is that of both. Two different ones have equal
+    bits half the time, so those that differ count twice."""
+    half = a.shape[1] // 2
+    count = lambda x: np.bitwise_count(x).sum(1, dtype=np.int64)
+    both, either = a[:, :half] & b[:, :half], count(a[:, :half] | b[:, :half])
+    return np.maximum(count(both) - 2 * count(both & (a[:, half:] ^ b[:, half:])), 0) / np.maximum(either, 1)
 
 
 def candidates(fp: np.ndarray, band: np.ndarray, half: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -304,30 +313,27 @@ def sketch_links(fp: np.ndarray, sketch: np.ndarray, node: np.ndarray, band: np.
     return local_forest(np.concatenate(a), np.concatenate(b))
 
 
-def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, similarity: float = 0.8, sketch_shingle: int = 5, leaf: int = BAND_ROWS, sample: int = SAMPLE) -> DataFrame:
-    """(key, component) of every row: links of near_duplicates(), and of texts whose 5-word shingles have an estimated
-    Jaccard index of ``similarity`` at least.
+def _groups(docs: DataFrame, key: str, text: str, order: str, radius: int, shingle: int, similarity: float, sketch_shingle: int, leaf: int, sample: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups). rows: (key, order, fingerprint, sketch, bands) of every row; groups: (fingerprint, sketch, bands,
+    component, least: the smallest (order, key) of the group's rows) of every group of rows with one text.
 
-    The first kind is exact. For the second, texts that share a band are candidates, whose number of rows does not
-    change the chance to share one; only bands of two rows or more are dealt with sketches, in pieces of about ``leaf``
-    rows. A band of more rows is compared whole, in pairs of blocks. Candidates are up to CANDIDATE_BITS apart.
-    Estimates from BINS bins have a standard error of .018 at most near .8, and less for texts of fewer shingles than
-    bins. Rows with a null key have a null component. Equal texts are one row from the start.
+    Only groups are linked, so a group of copies of any size is one node with its own links.
     """
     spark = docs.sparkSession
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            low = lowest(part.column(1), sketch_shingle)
-            at = pa.py_buffer((np.arange(len(low) + 1) * BINS).astype(np.int32))
+            low = lowest(part.column(2), sketch_shingle)
+            at = pa.py_buffer((np.arange(len(low) + 1) * SKETCH_BYTES).astype(np.int32))
             packed = pa.Array.from_buffers(pa.binary(), len(low), [None, at, pa.py_buffer(to_sketches(low))])
             banded = pa.ListArray.from_arrays(pa.array((np.arange(len(low) + 1) * BANDS).astype(np.int32)), pa.array(band_keys(low).ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1), shingle).view(np.int64)), packed, banded], ["key", "fingerprint", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fingerprints(part.column(2), shingle).view(np.int64)), packed, banded], ["key", "order", "fingerprint", "sketch", "bands"])
 
-    rows = written(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, fingerprint long, sketch binary, bands array<long>"), "sketches")
+    chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("order"), F.col(text).cast("string").alias("text"))
+    rows = written(chosen.mapInArrow(run, "key long, order long, fingerprint long, sketch binary, bands array<long>"), "sketches")
     exact = components(rows, radius, sample=sample)
-    own = cut(rows.where("key is not null").groupBy("fingerprint", "sketch", "bands").agg(F.min("key").alias("key")))
+    own = cut(rows.where("key is not null").groupBy("fingerprint", "sketch", "bands").agg(F.min("key").alias("key"), F.min(F.struct("order", "key")).alias("least")))
     banded = own.select("key", F.explode("bands").alias("band"))
     shared = cut(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     pieces = max(1, -(-int(shared.where(F.col("n") <= leaf).agg(F.sum("n")).first()[0] or 0) // leaf))
@@ -341,29 +347,47 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", rad
     def link(t: pa.Table) -> pa.Table:
         t = t.sort_by("band")
         fp = t.column("fingerprint").to_numpy().view(np.uint64)
-        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(fp), BINS)
+        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
         a, b = sketch_links(fp, s, t.column("key").to_numpy(), t.column("band").to_numpy(), t.column("half").to_numpy(), CANDIDATE_BITS, similarity)
         return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
 
     similar = small.unionByName(large).join(own.select("fingerprint", "sketch", "key"), "key").groupBy("piece").applyInArrow(link, "src long, dst long")
-    # a row's key, the smallest key of its text, and the smallest key within the radius are one group
-    named = rows.where("key is not null").select("key", "fingerprint", "sketch")
-    same = named.join(own.select("fingerprint", "sketch", F.col("key").alias("first")), ["fingerprint", "sketch"]).select(F.col("key").alias("src"), F.col("first").alias("dst"))
+    # a group's key and the smallest key within the radius, which is a group's key too
     close = own.join(exact, "fingerprint").select(F.col("key").alias("src"), F.col("component").alias("dst"))
-    found = connected_components(similar.unionByName(same).unionByName(close)).withColumnRenamed("node", "key")
-    return rows.select("key").join(found, "key", "left").select("key", F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component"))
+    found = connected_components(similar.unionByName(close)).withColumnRenamed("node", "key")
+    return rows, own.join(found, "key", "left").select("fingerprint", "sketch", "bands", F.coalesce("component", "key").alias("component"), "least")
+
+
+def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, similarity: float = 0.8, sketch_shingle: int = 5, leaf: int = BAND_ROWS, sample: int = SAMPLE) -> DataFrame:
+    """(key, component) of every row: links of near_duplicates(), and of texts whose 5-word shingles have an estimated
+    Jaccard index of ``similarity`` at least.
+
+    The first kind is exact. For the second, texts that share a band are candidates, whose number of rows does not
+    change the chance to share one; only bands of two rows or more are dealt with sketches, in pieces of about ``leaf``
+    rows. A band of more rows is compared whole, in pairs of blocks. Candidates are up to CANDIDATE_BITS apart.
+    Estimates from BINS bins have a standard error of about .009 near .8 for long texts, and less for texts of fewer shingles
+    than bins. Rows with a null key have a null component; a null text is empty, and empty texts are copies of each other;
+    repeated rows give a row each; an empty table gives no rows; other columns are not read. Equal texts are one node
+    from the start, and get its component by a join whose large keys AQE can split.
+    """
+    rows, groups = _groups(docs, key, text, key, radius, shingle, similarity, sketch_shingle, leaf, sample)
+    found = cut(groups.select("fingerprint", "sketch", "bands", "component"))
+    named = rows.select("key", "fingerprint", "sketch", "bands").join(found, ["fingerprint", "sketch", "bands"], "left")
+    return named.select("key", F.when(F.col("key").isNotNull(), F.col("component")).alias("component"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that have the smallest key of their component by near_documents(); rows with a null key stay.
 
     A row is known by its key and a hash of its text: of rows equal in both one stays, while rows that only share a key
-    are documents of their own. Of a component's rows with the smallest key the one of the smallest hash stays.
+    are documents of their own. Of a component's rows with the smallest key (a tie) the one of the smallest hash stays.
+    A null text is empty, and empty texts are copies of each other; an empty table stays empty; the other columns of
+    ``docs`` pass through whatever their names, and of rows equal in key and text any one's values are kept.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     own, content = (names[docs.columns.index(c)] for c in (key, text))
-    rows = docs.toDF(*names).withColumn("row", F.when(F.col(own).isNotNull(), F.xxhash64(F.col(own).cast("long"), F.col(content).cast("string"))))
-    found = near_documents(rows, "row", content, radius, shingle, similarity).where("key is not null").distinct()
-    first = rows.where("row is not null").select("row", F.col(own).cast("long").alias("id")).distinct().join(found.withColumnRenamed("key", "row"), "row").groupBy("component").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("row"))
-    kept = rows.join(first, "row", "left_semi").dropDuplicates(["row"])
+    rows = docs.toDF(*names).withColumns({"id": F.col(own).cast("long"), "row": F.when(F.col(own).cast("long").isNotNull(), F.xxhash64(F.col(own).cast("long"), F.col(content).cast("string")))})
+    _, groups = _groups(rows, "row", content, "id", radius, shingle, similarity, 5, BAND_ROWS, SAMPLE)
+    first = groups.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.order").alias("id"), F.col("least.key").alias("row"))
+    kept = rows.join(first, ["id", "row"], "left_semi").dropDuplicates(["id", "row"])
     return kept.unionByName(rows.where("row is null")).select(*names).toDF(*docs.columns)
