@@ -58,3 +58,18 @@ def test_stages_bear_an_empty_table(spark, tables):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, tables)
     assert docs.count() == 0
+
+
+def test_extra_columns_of_any_name_come_through(spark, tables, tmp_path):
+    """Values of columns that are named as the operators' own come through every stage but the last."""
+    base = spark.read.parquet(f"{tables}/documents.parquet").drop("n_chars")
+    extra = base.selectExpr("*", "concat('s', doc_id) as score", "concat('p', doc_id) as predicted", "doc_id + 1 as key", "'r' as row", "doc_id as id", "'x' as component", "1 as k1", "'label' as label", "text as kept")
+    docs = extra
+    want = {(r.doc_id, r.score, r.predicted, r.key, r.row, r.id, r.component, r.k1, r.label) for r in extra.collect()}
+    for i, (name, stage) in enumerate(cp.STAGES[:-1]):
+        stage(spark, docs, tables).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        assert docs.columns == extra.columns, name
+    got = [(r.doc_id, r.score, r.predicted, r.key, r.row, r.id, r.component, r.k1, r.label) for r in docs.collect()]
+    assert got and set(got) <= want
+    assert cp.STAGES[-1][1](spark, docs, tables).count() >= len(got)
