@@ -1,7 +1,10 @@
 """Embedding near-dedup by sorted projection passes.
 
-Each pass orders all distinct vectors by a string of random hyperplane signs, and compares every vector with its next
-neighbours in that order; pairs of sufficient cosine are links. The links of all passes together give components.
+Each pass orders all distinct vectors by a string of random bits, and compares every vector with its next neighbours in
+that order; pairs of sufficient cosine are links. A bit tells on which side of a random hyperplane a vector lies. The
+hyperplane goes through the middle of the vectors whose bits before are the same, as a sample has it, so bits part a dense
+cone of vectors as evenly as scattered ones. How many passes it takes is reckoned from the number of vectors and from how
+often such bits tell a sampled vector from another at the threshold. The links of all passes together give components.
 Inside a component all pairs count, however many lie between them in every order: small components are compared
 whole, and large ones in chunks by the angle to their centre, where the triangle inequality settles most pairs of chunks.
 """
@@ -18,11 +21,21 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, local_forest, written
 
-PASSES, BITS, WINDOW = 16, 40, 64
+BITS, WINDOW = 40, 512
+#: The chance to be found that passes are reckoned for, on the average over sampled vectors with a partner at the threshold.
+RECALL = 0.98
+MIN_PASSES = 6
+#: Middles are those of so many sampled vectors at most; every vector is in every pass.
+SAMPLE, PARTNERS = 50_000, 1000
+#: The first bits have a middle for each string of bits before, down to about so many sampled vectors; the others have one
+#: for each string of those first bits.
+LEAST, LEVELS = 32, 10
 #: Rows between two bounds of a pass, as long as MAX_BLOCKS bounds suffice.
-BLOCK, MAX_BLOCKS = 4096, 1000
+BLOCK, MAX_BLOCKS = 16384, 1000
 #: Components of more vectors are compared in chunks of about so many; a component has about MAX_CHUNKS at most.
 CHUNK, MAX_CHUNKS = 2048, 1000
+#: Rows and columns of one product of a pair of chunks, which grow with components beyond CHUNK * MAX_CHUNKS vectors.
+TILE = 2048
 #: Degrees in a shell around a component's centre.
 SHELL = 0.25
 
@@ -43,13 +56,73 @@ def by_length(batch: pa.RecordBatch, column: str = "vec") -> Iterator[tuple[pa.R
         yield part, matrix(part.column(column))
 
 
-def keys(x: np.ndarray, ids: np.ndarray, passes: int, seed: int = 11) -> np.ndarray:
-    """passes x n sort keys: BITS signs, then bits of a hash of the id, so that equal strings still spread over blocks."""
-    planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], passes * BITS))
-    signs = (x @ planes > 0).reshape(len(x), passes, BITS)
-    code = signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-    rest = (ids[:, None] * 2654435761 + np.arange(passes) * 40503) & ((1 << 22) - 1)
-    return (code << 22 | rest).T
+class Order:
+    """The bits of some passes for vectors of one length."""
+
+    def __init__(self, sample: np.ndarray, first: int, passes: int, seed: int = 11):
+        n, d = sample.shape
+        self.passes = passes
+        self.planes = np.concatenate([np.random.default_rng([seed, d, first + p]).standard_normal((d, BITS)) for p in range(passes)], axis=1)
+        self.levels = int(min(LEVELS, max(0, np.log2(max(n, 1) / LEAST))))
+        self.inner = np.zeros((passes, (1 << self.levels) - 1), np.float32)
+        self.deep = np.zeros((passes, 1 << self.levels, BITS - self.levels), np.float32)
+        for p in range(passes):
+            side = sample @ self.planes[:, p * BITS : (p + 1) * BITS]
+            groups = [np.arange(n)]
+            for level in range(self.levels):
+                below = []
+                for k, g in enumerate(groups):
+                    middle = np.float32(np.median(side[g, level])) if len(g) else np.float32(0)
+                    self.inner[p, (1 << level) - 1 + k] = middle
+                    below += [g[side[g, level] <= middle], g[side[g, level] > middle]]
+                groups = below
+            for k, g in enumerate(groups):
+                if len(g):
+                    self.deep[p, k] = np.median(side[g, self.levels :], axis=0)
+
+    def bits(self, x: np.ndarray, like: np.ndarray | None = None) -> np.ndarray:
+        """n x passes x BITS; with ``like``, by the hyperplanes that those vectors meet."""
+        side = (x @ self.planes).reshape(len(x), self.passes, BITS)
+        lead = side if like is None else (like @ self.planes).reshape(len(x), self.passes, BITS)
+        out = np.empty(side.shape, bool)
+        node, each = np.zeros((len(x), self.passes), np.int64), np.arange(self.passes)
+        for level in range(self.levels):
+            middle = self.inner[each, (1 << level) - 1 + node]
+            out[:, :, level] = side[:, :, level] > middle
+            node = 2 * node + (lead[:, :, level] > middle)
+        out[:, :, self.levels :] = side[:, :, self.levels :] > self.deep[each, node]
+        return out
+
+    def keys(self, x: np.ndarray, ids: np.ndarray, step: int = 2000) -> np.ndarray:
+        """passes x n sort keys: the bits, then bits of a hash of the id, so that equal strings still spread over blocks."""
+        code = np.concatenate([self.bits(x[a : a + step]) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)) for a in range(0, max(len(x), 1), step)])
+        rest = (ids[:, None] * 2654435761 + np.arange(self.passes) * 40503) & ((1 << 22) - 1)
+        return (code << 22 | rest).T
+
+
+def passes_for(sample: np.ndarray, total: int, window: int, threshold: float, seed: int = 5) -> int:
+    """So many passes that a vector and another at the threshold are neighbours in one with a chance of RECALL.
+
+    They are if they share so many first bits that no more vectors than a window holds have the same. The chance to share
+    each bit is measured on sampled vectors, each with a partner in a random direction.
+    """
+    shared = int(np.ceil(max(0.0, np.log2(max(total, 1) / window))))
+    if not len(sample) or not shared or sample.shape[1] < 2:
+        return MIN_PASSES
+    r = np.random.default_rng(seed)
+    x = sample[r.permutation(len(sample))[:PARTNERS]]
+    away = r.standard_normal(x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+    trial = Order(sample, 0, 16)
+    other = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * away
+    agree = np.concatenate([(trial.bits(x[a : a + 200]) == trial.bits(other[a : a + 200], x[a : a + 200])).mean(1) for a in range(0, len(x), 200)])
+    agree = agree[:, : min(shared, BITS)]
+    meet = np.prod((agree * 16 + agree.mean(0) * 4) / 20, axis=1)  # a vector's 16 trials, steadied by the others'
+    passes = MIN_PASSES
+    while np.mean(1 - (1 - meet) ** passes) < RECALL:
+        passes += 1
+    return passes
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -114,16 +187,25 @@ def _window_links(threshold: float, window: int, batches: Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], ["src", "dst"])
 
 
-def links(vectors: DataFrame, threshold: float, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def links(vectors: DataFrame, threshold: float, passes: int | None = None, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(src, dst) links that connect what the passes find among (uid, vec)."""
     spark = vectors.sparkSession
     total = vectors.count()
     blocks = int(min(max(1, -(-total // block)), MAX_BLOCKS))
+    drawn = vectors.select("uid", "vec").orderBy(F.xxhash64("uid")).limit(SAMPLE).toArrow().combine_chunks().to_batches()
+    samples = {x.shape[1]: x for batch in drawn for _, x in by_length(batch)}
+    if passes is None:
+        passes = max((passes_for(x, -(-total * len(x) // sum(map(len, samples.values()))), window, threshold) for x in samples.values()), default=MIN_PASSES)
+    fitted = spark.sparkContext.broadcast({d: Order(x, 0, passes) for d, x in samples.items()})
+
+    def keys(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        order = fitted.value.get(x.shape[1]) or Order(x[:0], 0, passes)
+        return order.keys(x, ids)
 
     def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, x in by_length(batch):
-                k = keys(x, part.column("uid").to_numpy(), passes)
+                k = keys(x, part.column("uid").to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(passes, dtype=np.int32), len(x))), pa.array(k.ravel())], ["pass", "key"])
 
     # block bounds, and for each the place up to which its first rows are also shown to the block before
@@ -135,7 +217,7 @@ def links(vectors: DataFrame, threshold: float, passes: int = PASSES, window: in
         none = np.zeros(0, np.int64)
         for batch in batches:
             for part, x in by_length(batch):
-                for p, k in enumerate(keys(x, part.column("uid").to_numpy(), passes)):
+                for p, k in enumerate(keys(x, part.column("uid").to_numpy())):
                     low, ahead = bounds.value.get(p, (none, none))
                     own = np.searchsorted(low, k, "right")
                     early = np.flatnonzero((own > 0) & (k <= np.append(ahead, 0)[own - 1])) if len(low) else np.zeros(0, np.int64)
@@ -167,12 +249,17 @@ def _pair_counts(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterato
         for a, b in zip(at, at[1:]):
             x, m, s = matrix(vec.slice(a, b - a)), mult[a:b], side[a:b]
             left, right = np.flatnonzero(s != 1), np.flatnonzero(s != 0)
-            near = x[left] @ x[right].T >= threshold
-            if (s == 2).any():
-                np.fill_diagonal(near, True)
-                out[a:b] = near @ m
-            else:
-                out[a + left], out[a + right] = near @ m[right], near.T @ m[left]
+            itself = bool((s == 2).any())
+            for i in range(0, len(left), TILE):
+                for k in range(0, len(right), TILE):
+                    p, q = left[i : i + TILE], right[k : k + TILE]
+                    near = x[p] @ x[q].T >= threshold
+                    if itself:
+                        near |= p[:, None] == q[None, :]
+                        out[a + p] += near @ m[q]
+                    else:
+                        out[a + p] += near @ m[q]
+                        out[a + q] += near.T @ m[p]
         yield pa.RecordBatch.from_arrays([t.column("uid").combine_chunks(), pa.array(out)], ["uid", "linked"])
 
 
@@ -214,7 +301,7 @@ def large_counts(members: DataFrame, threshold: float, chunk: int = CHUNK) -> Da
     return shelled.join(settled, ["component", "shell"]).select("uid", "linked").unionByName(compared).groupBy("uid").agg(F.sum("linked").alias("linked"))
 
 
-def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, passes: int | None = None, window: int = WINDOW, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
     Links join vectors of one length whose cosine, in double precision, is ``threshold`` at least. A vector that is
@@ -238,13 +325,15 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     named = own.select("k1", "k2", "uid", "mult", "first_id").join(counted, "uid", "left").join(sized.select("uid", "component_id"), "uid", "left")
     per_vector = named.select("k1", "k2", (F.coalesce("linked", "mult") - 1).alias("n"), F.coalesce("component_id", "first_id").alias("c"))
     alone = F.col("vec").isNull()
-    out = all_rows.select("vec_id", alone.alias("alone"), F.when(~alone, F.col("k1")).alias("k1"), F.when(~alone, F.col("k2")).alias("k2")).join(per_vector, ["k1", "k2"], "left")
+    # rows without a vector match nothing, and lie in all partitions
+    out = all_rows.select("vec_id", alone.alias("alone"), F.when(alone, F.xxhash64("vec_id")).otherwise(F.col("k1")).alias("k1"), F.when(~alone, F.col("k2")).alias("k2")).join(per_vector, ["k1", "k2"], "left")
     component = F.when(F.col("alone"), F.col("vec_id")).otherwise(F.col("c"))
     return out.select("vec_id", F.when(F.col("alone"), F.lit(0)).otherwise(F.col("n")).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 SQL = """
-WITH RECURSIVE u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+WITH RECURSIVE t AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, CASE WHEN len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 THEN v END AS v FROM t),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
 r AS (SELECT vec_id, vec_id AS c FROM u UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id WHERE r.c < l.b),
 m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)

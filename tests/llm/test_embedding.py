@@ -59,15 +59,53 @@ def test_empty_table(spark):
     assert embedding.near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_recall_of_single_pairs(spark):
-    """Pairs alone at the threshold, far more of them than a window holds."""
-    r = np.random.default_rng(4)
-    x = r.standard_normal((6000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = r.standard_normal((6000, 64))
+def partners(x, r, cosine=0.951):
+    """For each unit vector another one at that cosine, in a random direction."""
+    y = r.standard_normal(x.shape)
     y -= (x * y).sum(1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    z = x * 0.951 + y * np.sqrt(1 - 0.951**2)
-    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((x, z)))]
-    linked = embedding.near_duplicates(frame(spark, rows, "double"), window=16).where("n_links > 0").count()
-    assert linked >= 0.9 * len(rows)
+    return x * cosine + y * np.sqrt(1 - cosine**2)
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def recall_of_pairs(spark, others, x, r, window):
+    """The share of lone pairs that are found among ``others``, which link with nothing."""
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((x, partners(x, r), others)))]
+    found = embedding.near_duplicates(frame(spark, rows, "double"), window=window).where("n_links > 0").select("vec_id").collect()
+    return sum(v.vec_id < 2 * len(x) for v in found) / (2 * len(x))
+
+
+@pytest.mark.parametrize("window", [64, 16, 4])
+def test_recall_of_single_pairs(spark, window):
+    """190 to 3000 windows of vectors; as many windows of 512 are 100,000 to 1,500,000 vectors."""
+    r = np.random.default_rng(4)
+    assert recall_of_pairs(spark, unit(r.standard_normal((8000, 64))), unit(r.standard_normal((2000, 64))), r, window) >= 0.95
+
+
+@pytest.mark.parametrize("window", [64, 16])
+def test_recall_in_a_dense_cone(spark, window):
+    """All vectors have a cosine of about .8 with each other, far below a link."""
+    r = np.random.default_rng(6)
+    centre = unit(r.standard_normal((1, 64)))
+
+    def cone(n):
+        away = r.standard_normal((n, 64))
+        away -= (away @ centre.T) * centre
+        return np.sqrt(0.8) * centre + np.sqrt(0.2) * unit(away)
+
+    assert recall_of_pairs(spark, cone(8000), cone(2000), r, window) >= 0.95
+
+
+def test_passes_follow_the_number_of_vectors():
+    x = unit(np.random.default_rng(7).standard_normal((5000, 32)))
+    n = [embedding.passes_for(x, total, 512, 0.95) for total in (100, 10**4, 10**6, 10**8)]
+    assert n == sorted(n) and n[0] == embedding.MIN_PASSES < n[-1]
+
+
+def test_large_pairs_of_chunks_are_compared_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "TILE", 7)
+    rows = vectors(3, 80)
+    assert sorted(map(tuple, embedding.near_duplicates(frame(spark, rows), chunk=50).collect()), key=str) == brute(rows)
