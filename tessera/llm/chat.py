@@ -7,6 +7,7 @@ so that an unescaped one always is a mark.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,30 @@ def unescape(text: Column) -> Column:
     return _take(text, CODES)
 
 
+#: Code points of a piece of formatted text, as reading a place of a string takes time in proportion to the place.
+PIECE = 4096
+#: Array entries that are added up one after the other, as each sum copies those before it.
+RUN = 256
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where an inner function of ``use`` does not work ``value`` out for each of its calls."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sums(lengths: Column) -> Column:
+    """The sums of the entries before each entry, and of all."""
+    return F.aggregate(lengths, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+
+def _running(lengths: Column, gap: Column) -> Column:
+    """The sum of the entries, each with ``gap``, before each entry: within runs of RUN entries, then over the runs."""
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(lengths) / RUN).cast("int") - 1, F.lit(0))), lambda r: _sums(F.transform(F.slice(lengths, r * RUN + 1, RUN), lambda x: x + gap)))
+    shifted = lambda rs: F.zip_with(_sums(F.transform(rs, lambda r: F.element_at(r, -1))), rs, lambda base, r: F.transform(F.slice(r, 1, F.size(r) - 1), lambda x: x + base))
+    # the sum of all runs has no run of its own
+    return F.flatten(F.filter(_bound(runs, shifted), lambda x: x.isNotNull()))
+
+
 def format_conversations(turns: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, formatted, loss: array<struct<start, length>>, n_blocks) from rows (conv_id, turn, role, text).
 
@@ -54,17 +79,17 @@ def format_conversations(turns: DataFrame, learned: tuple[str, ...] = ("assistan
     head = lambda b: F.concat(F.lit(HEAD), _put(b["role"], ROLE_CODES), F.lit(": "))
     body = F.transform("said", lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(STOP)))
     # running positions: of a block in the text, then of a turn in its block
-    add = lambda xs, gap: F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, x: F.struct((s["at"] + x + gap).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
-    begins = add(F.transform("body", F.length), F.lit(0))
+    begins = _running(F.transform("body", F.length), F.lit(0))
     loss = F.flatten(
-        F.transform(
+        F.zip_with(
             "said",
-            lambda b, k: F.when(
+            "begins",
+            lambda b, begin: F.when(
                 b["role"].isin(*learned),
                 F.zip_with(
-                    add(F.transform(b["texts"], F.length), F.lit(len(NEXT))),
+                    _running(F.transform(b["texts"], F.length), F.lit(len(NEXT))),
                     b["texts"],
-                    lambda at, x: F.struct((F.get("begins", k) + F.length(head(b)) + at).alias("start"), F.length(x).alias("length")),
+                    lambda at, x: F.struct((begin + F.length(head(b)) + at).alias("start"), F.length(x).alias("length")),
                 ),
             ).otherwise(F.array().cast("array<struct<start:int,length:int>>")),
         )
@@ -78,8 +103,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
     blocks = F.filter(F.split("formatted", "</turn>\n"), lambda b: b != "")
     role = lambda b: F.substring_index(F.substring(b, len(HEAD) + 1, 1 << 30), ": ", 1)
     rest = lambda b: F.substr(b, F.length(role(b)) + len(HEAD) + 3)
-    turns = F.flatten(F.transform(blocks, lambda b: F.transform(F.split(rest(b), NEXT), lambda x: F.struct(_take(role(b), ROLE_CODES).alias("role"), unescape(x).alias("text")))))
-    masked = F.array_join(F.transform("loss", lambda m: unescape(F.substr("formatted", m["start"] + 1, m["length"]))), "")
+    turns = F.flatten(F.transform(blocks, lambda b: _bound(_take(role(b), ROLE_CODES), lambda r: F.transform(F.split(rest(b), NEXT), lambda x: F.struct(r.alias("role"), unescape(x).alias("text"))))))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length("formatted") / PIECE).cast("int")), lambda k: F.substr("formatted", k * PIECE + 1, F.lit(PIECE)))
+    first = lambda m: F.floor(m["start"] / PIECE).cast("int")
+    last = lambda m: F.floor((m["start"] + m["length"]) / PIECE).cast("int")
+    under = lambda ps: F.transform("loss", lambda m: unescape(F.substr(F.array_join(F.slice(ps, first(m) + 1, last(m) - first(m) + 1), ""), m["start"] % PIECE + 1, m["length"])))
+    masked = F.array_join(_bound(pieces, under), "")
     return formatted.select("conv_id", turns.alias("turns"), masked.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"), "n_blocks")
 
 

@@ -33,6 +33,13 @@ def test_nasty_texts_are_read_back(spark):
     check(spark, rows)
 
 
+def test_conversations_of_many_turns(spark):
+    roles = lambda i: "assistant" if i % 2 or i > 1500 else "user"
+    rows = [(1, i, roles(i), NASTY[i % len(NASTY)] or f"turn {i}", 1, "", 0) for i in range(3000)]
+    rows += [(2, 0, "user", "ü" * 9000, 1, "", 0), (2, 1, "assistant", "é\\" * 5000, 1, "", 0), (2, 2, "assistant", "z" * 4096, 1, "", 0)]
+    check(spark, rows)
+
+
 def test_empty_table(spark):
     assert chat.digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
