@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +16,8 @@ from .common import slices, small_batches
 from .pretoken import WordCache, gather, stretches
 
 NONE = np.int32(2**31 - 1)
-#: Words of more bytes are merged one at a time by a heap, as rounds over a matrix would take their length squared.
+#: Words of more bytes have a matrix of their own, in which a round merges all places of the lowest rank at once, as one
+#: merge a round would take their length squared.
 LONG = 1024
 
 
@@ -136,28 +136,33 @@ class Bpe:
         return out
 
     def merge_long(self, raw: bytes) -> np.ndarray:
-        """The same merges for one long word, by a heap of (rank, place) over a linked list."""
-        ids = self.byte_id[np.frombuffer(raw, np.uint8)].tolist()
-        n = len(ids)
-        token = [raw[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get = self.ranks.get
-        heap = [(r, i) for i in range(n - 1) if (r := get(token[i] + token[i + 1])) is not None]
-        heapq.heapify(heap)
-        alive = [True] * n
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or get(token[i] + token[j]) != r:
-                continue
-            token[i], ids[i], alive[j], after[i] = token[i] + token[j], r, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                if (x := get(token[i] + token[after[j]])) is not None:
-                    heapq.heappush(heap, (x, i))
-            if before[i] >= 0 and (x := get(token[before[i]] + token[i])) is not None:
-                heapq.heappush(heap, (x, before[i]))
-        return np.array([x for x, a in zip(ids, alive) if a])
+        """The same rounds for one long word, a matrix of one row: a round merges all places of the lowest rank, from the left.
+
+        One merge a round would do the same, unless a merge makes a pair of a lower rank still; the round ends with the
+        first that does.
+        """
+        ids = self.byte_id[np.frombuffer(raw, np.uint8)]
+        rank = self.pairs(ids[:-1], ids[1:])
+        while len(rank) and (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            # of places that overlap one after the other every second one
+            nth = np.arange(len(at))
+            first = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, nth, 0))
+            at = at[(nth - first) % 2 == 0]
+            right = np.minimum(at + 2, len(ids) - 1)
+            left = np.maximum(at - 1, 0)
+            joined = np.concatenate(([False], at[1:] == at[:-1] + 2))  # the place to the left has just been merged
+            token = np.full(len(at), best, np.int32)
+            lower = (self.pairs(token, ids[right]) < best) & (at + 2 < len(ids))
+            lower |= (self.pairs(np.where(joined, best, ids[left]).astype(np.int32), token) < best) & (at > 0)
+            if lower.any():
+                at = at[: int(lower.argmax()) + 1]
+            ids[at] = best
+            ids, rank = np.delete(ids, at + 1), np.delete(rank, at)
+            at = at - np.arange(len(at))
+            for pair in (at[at > 0] - 1, at[at < len(ids) - 1]):
+                rank[pair] = self.pairs(ids[pair], ids[pair + 1])
+        return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts and the number of each text's ids; null texts have none."""

@@ -44,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like cut() as compressed Parquet, for wide intermediates."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -183,6 +183,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.groupBy("src").agg(F.min("dst").alias("dst")).select(F.col("src").alias("node"), F.col("dst").alias("component")).unionAll(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
 
 
+def pieces_of_bands(banded: DataFrame, limit: int) -> DataFrame:
+    """(key, band, piece, half) of (key, band): rows whose bands have two rows or more, dealt so that all pairs of a band meet.
+
+    Bands of at most ``limit`` rows share pieces of about so many rows, with a half of 2: a band is compared with itself. A
+    larger one is split into blocks, and each pair of its blocks is a piece: its rows have the halves 0 and 1, or 2 in
+    a block's pair with itself.
+    """
+    shared = cut(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    pieces = max(1, -(-int(shared.where(F.col("n") <= limit).agg(F.sum("n")).first()[0] or 0) // limit))
+    met = banded.join(shared, "band")
+    small = met.where(F.col("n") <= limit).select("key", "band", F.pmod(F.xxhash64("band"), F.lit(pieces)).alias("piece"), F.lit(2).alias("half"))
+    parts = F.ceil(F.col("n") / limit)
+    block = met.where(F.col("n") > limit).withColumn("me", F.pmod(F.xxhash64("key"), parts)).select("key", "band", "me", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    large = block.select("key", "band", F.xxhash64("band", F.least("me", "other"), F.greatest("me", "other")).alias("piece"), F.when(F.col("me") == F.col("other"), 2).otherwise((F.col("me") > F.col("other")).cast("int")).alias("half"))
+    return small.unionByName(large)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

@@ -4,7 +4,7 @@ A shared random walk reads a text: at step j it looks at the character where it
 as a random bit of j and the character says. Two texts that differ by few edits soon walk in step again, so the
 sequences of what the walks look at differ in few places. A fingerprint has DIGITS hexadecimal digits, each a hash of
 what the walk looks at in one step; the steps are sampled alike for all texts, so digits of a fingerprint differ as
-steps of the walks do.
+steps of the walks do. Bands of digits give candidates, which are verified by the share of equal digits and united.
 """
 
 from __future__ import annotations
@@ -18,11 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, local_forest, mix, slices, small_batches
+from .common import connected_components, cut, local_forest, mix, pieces_of_bands, slices, small_batches, written
 
 DIGITS = 128
-#: Steps of a walk for each character; a walk moves on at every other step, so two read most of a text to its end.
+#: Steps of a walk for each character. A walk moves on at every other step, so about half of all walks end before the last
+#: character, by about the square root of the length; steps beyond the end would make unrelated texts look alike.
 STEPS = 2
+#: Digits of a band, and bands: fingerprints of likeness .9 share one with a chance of .99.
+BAND, BANDS = 8, 8
+#: Fingerprints that are compared with each other in one piece.
+BAND_ROWS = 4000
+#: Steps whose hashes are looked at together.
+RUN = 1 << 16
 #: Characters fall into 63 classes; class 63 is the end of a text, where a walk stays.
 END = 63
 #: Rows between two bounds of the order by id, as long as MAX_RANGES bounds suffice.
@@ -31,15 +38,18 @@ TEXT_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=4)
-def _records(bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _records(bits: int) -> list[np.ndarray]:
     """For each digit, the steps below 2**bits whose hash is smaller than those of all steps before."""
-    steps = np.arange(1 << bits, dtype=np.uint64)
-    out = []
-    for d in range(DIGITS):
-        h = mix(steps + np.uint64((d + 1) << 40))
-        low = np.minimum.accumulate(h)
-        out.append(np.flatnonzero(np.concatenate(([True], low[1:] < low[:-1]))))
-    return out
+    out: list[list[np.ndarray]] = [[] for _ in range(DIGITS)]
+    least = [np.uint64(0xFFFFFFFFFFFFFFFF)] * DIGITS
+    for first in range(0, 1 << bits, RUN):
+        steps = np.arange(first, first + min(RUN, 1 << bits), dtype=np.uint64)
+        for d in range(DIGITS):
+            h = mix(steps + np.uint64((d + 1) << 40))
+            low = np.minimum.accumulate(np.concatenate((least[d : d + 1], h)))
+            out[d].append(first + np.flatnonzero(low[1:] < low[:-1]))
+            least[d] = low[-1]
+    return [np.concatenate(x) for x in out]
 
 
 def sampled_steps(steps: np.ndarray) -> np.ndarray:
@@ -67,7 +77,9 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     length = n[order]
     begin = np.cumsum(length + 3) - length - 3
     # three ends behind each text, as a digit is a hash of three characters
-    classes = (mix(points.astype(np.uint64)) % np.uint64(END)).astype(np.uint8)
+    classes = np.empty(len(points), np.uint8)
+    for a in range(0, len(points), RUN):
+        classes[a : a + RUN] = mix(points[a : a + RUN].astype(np.uint64)) % np.uint64(END)
     for k in range(3):
         classes[begin + length + k] = END
     del points
@@ -123,39 +135,44 @@ def _digits(column) -> np.ndarray:
 
 
 def _band_links(threshold: float, t: pa.Table) -> pa.Table:
-    """A forest over the fingerprints of one band value that connects all pairs that are alike enough."""
-    digits, node = _digits(t.column("fingerprint")), t.column("node").to_numpy()
+    """A forest over the fingerprints of one piece, by band, that connects all pairs of a band that are alike enough."""
+    t = t.sort_by("band")
+    digits, node, half, band = _digits(t.column("fingerprint")), t.column("key").to_numpy(), t.column("half").to_numpy(), t.column("band").to_numpy()
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(0, len(digits), 256):
-        for k in range(i, len(digits), 1024):
-            equal = np.zeros((len(digits[i : i + 256]), len(digits[k : k + 1024])), np.int16)
-            for d in range(digits.shape[1]):
-                equal += digits[i : i + 256, d, None] == digits[None, k : k + 1024, d]
-            x, y = np.nonzero((equal / digits.shape[1] - 1 / 16) / (15 / 16) >= threshold)
-            p, q = local_forest(node[i + x], node[k + y])
-            a.append(p)
-            b.append(q)
+    begins = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1], [True])))
+    for begin, end in zip(begins, begins[1:]):
+        for i in range(begin, end, 256):
+            for k in range(i, end, 1024):
+                left, right = np.arange(i, min(i + 256, end)), np.arange(k, min(k + 1024, end))
+                equal = np.zeros((len(left), len(right)), np.int16)
+                for d in range(digits.shape[1]):
+                    equal += digits[left, d, None] == digits[None, right, d]
+                x, y = np.nonzero((equal / digits.shape[1] - 1 / 16) / (15 / 16) >= threshold)
+                x, y = left[x], right[y]
+                across = (x < y) & ((half[x] == 2) | (half[x] != half[y]))
+                p, q = local_forest(node[x[across]], node[y[across]])
+                a.append(p)
+                b.append(q)
     p, q = local_forest(np.concatenate(a), np.concatenate(b))
     return pa.table({"src": pa.array(p, pa.int64()), "dst": pa.array(q, pa.int64())})
 
 
-def near_classes(prints: DataFrame, threshold: float = 0.9, band: int = 8, bands: int = DIGITS // 8) -> DataFrame:
+def near_classes(prints: DataFrame, threshold: float = 0.9, band: int = BAND, bands: int = BANDS, limit: int = BAND_ROWS) -> DataFrame:
     """(fingerprint, class_id: the smallest doc_id reachable by links) per distinct fingerprint of (doc_id, fingerprint).
 
     Fingerprints that share a band of sampled digits are candidates; candidates are verified by their likeness, all
-    pairs of a band value against each other in blocks. Equal fingerprints are one row from the start.
+    pairs of a band value against each other, those of more than ``limit`` rows in pairs of blocks. Equal fingerprints
+    are one row from the start. Rows with a null id take no part; an empty table gives no rows.
     """
-    own = cut(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
-    pieces = F.array(*[F.struct(F.lit(k).alias("n"), F.substring("fingerprint", k * band + 1, band).alias("v")) for k in range(bands)])
-    dealt = own.select("fingerprint", "node", F.explode(pieces).alias("band")).select("fingerprint", "node", F.xxhash64("band.n", "band.v").alias("band"))
-    shared = dealt.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    own = written(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("key")), "fingerprints")
+    banded = own.select("key", F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("fingerprint", k * band + 1, band)) for k in range(bands)])).alias("band"))
 
     def link(t: pa.Table) -> pa.Table:
         return _band_links(threshold, t)
 
-    edges = dealt.join(shared, "band").groupBy("band").applyInArrow(link, "src long, dst long")
-    found = connected_components(edges).withColumnRenamed("node", "n")
-    return own.join(found, F.col("node") == F.col("n"), "left").select("fingerprint", F.coalesce("component", "node").alias("class_id"))
+    edges = pieces_of_bands(banded, limit).join(own, "key").groupBy("piece").applyInArrow(link, "src long, dst long")
+    found = connected_components(edges).withColumnRenamed("node", "key")
+    return own.join(found, "key", "left").select("fingerprint", F.coalesce("component", "key").alias("class_id"))
 
 
 _COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -225,3 +242,11 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     targets = F.when(is_first, F.array(own, F.struct(before.alias("range"), F.lit(True).alias("ahead")))).otherwise(F.array(own))
     dealt = placed.select("doc_id", "text", "rank", F.explode(targets).alias("to")).select("doc_id", "text", "rank", "to.range", "to.ahead")
     return dealt.repartition("range").sortWithinPartitions("range", "ahead", "rank", "text").select("doc_id", "text", "ahead").mapInArrow(_compare, _COMPARED)
+
+
+def classed(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.9) -> DataFrame:
+    """The rows of compared() with class_id: the smallest id that links between fingerprints of a likeness of ``threshold``
+    at least reach, as near_classes() finds them; null for rows with a null key."""
+    rows = written(compared(docs, key, text), "edit-fingerprints")
+    found = cut(near_classes(rows.select("doc_id", "fingerprint"), threshold))
+    return rows.join(found, "fingerprint", "left").select(*rows.columns, F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))

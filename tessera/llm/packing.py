@@ -15,8 +15,9 @@ from .common import slices, small_batches
 from .pretoken import WordCache
 
 
-#: The public splitting pattern with its alternatives in another order: words come first, as most matches are words. No
-#: two alternatives but the last two can begin at one place, so the matches are the same.
+#: The public splitting pattern with its alternatives in another order: words come first, as most matches are words. Only
+#: `'s` and its like share a first character with an alternative that they have to come before, as they do, and so do
+#: the last two; all others begin differently, so the matches are the same.
 SPLIT = r""" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, hash_strings, local_forest, mix, slices, small_batches, string_bytes, words, written
+from .common import connected_components, cut, hash_strings, local_forest, mix, pieces_of_bands, slices, small_batches, string_bytes, words, written
 
 #: Distinct fingerprints a leaf of the shipped tree is meant to hold; a task splits its leaves on by further vantage points,
 #: so a leaf of many more takes memory in proportion (16 bytes a fingerprint) and not their square.
@@ -334,15 +334,7 @@ def _groups(docs: DataFrame, key: str, text: str, order: str, radius: int, shing
     rows = written(chosen.mapInArrow(run, "key long, order long, fingerprint long, sketch binary, bands array<long>"), "sketches")
     exact = components(rows, radius, sample=sample)
     own = cut(rows.where("key is not null").groupBy("fingerprint", "sketch", "bands").agg(F.min("key").alias("key"), F.min(F.struct("order", "key")).alias("least")))
-    banded = own.select("key", F.explode("bands").alias("band"))
-    shared = cut(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    pieces = max(1, -(-int(shared.where(F.col("n") <= leaf).agg(F.sum("n")).first()[0] or 0) // leaf))
-    met = banded.join(shared, "band")
-    # small bands share pieces; of a large one, each row meets its own block and all others
-    small = met.where(F.col("n") <= leaf).select("key", "band", F.pmod(F.xxhash64("band"), F.lit(pieces)).alias("piece"), F.lit(2).alias("half"))
-    parts = F.ceil(F.col("n") / leaf)
-    block = met.where(F.col("n") > leaf).withColumn("me", F.pmod(F.xxhash64("key"), parts)).select("key", "band", "me", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-    large = block.select("key", "band", F.xxhash64("band", F.least("me", "other"), F.greatest("me", "other")).alias("piece"), F.when(F.col("me") == F.col("other"), 2).otherwise((F.col("me") > F.col("other")).cast("int")).alias("half"))
+    dealt = pieces_of_bands(own.select("key", F.explode("bands").alias("band")), leaf)
 
     def link(t: pa.Table) -> pa.Table:
         t = t.sort_by("band")
@@ -351,7 +343,7 @@ def _groups(docs: DataFrame, key: str, text: str, order: str, radius: int, shing
         a, b = sketch_links(fp, s, t.column("key").to_numpy(), t.column("band").to_numpy(), t.column("half").to_numpy(), CANDIDATE_BITS, similarity)
         return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
 
-    similar = small.unionByName(large).join(own.select("fingerprint", "sketch", "key"), "key").groupBy("piece").applyInArrow(link, "src long, dst long")
+    similar = dealt.join(own.select("fingerprint", "sketch", "key"), "key").groupBy("piece").applyInArrow(link, "src long, dst long")
     # a group's key and the smallest key within the radius, which is a group's key too
     close = own.join(exact, "fingerprint").select(F.col("key").alias("src"), F.col("component").alias("dst"))
     found = connected_components(similar.unionByName(close)).withColumnRenamed("node", "key")

@@ -42,6 +42,30 @@ def test_long_words_by_both_ways(reference):
         assert encoder.merge_long(raw).tolist() == want
 
 
+def test_long_words_of_any_ranks():
+    """Ranks in an order in which a merge often makes a pair of a lower rank."""
+    for seed in range(40):
+        r = random.Random(seed)
+        tokens = {bytes([b]) for b in range(256)} | {"".join(r.choice("abc") for _ in range(r.randint(2, 5))).encode() for _ in range(60)}
+        longer = sorted(t for t in tokens if len(t) > 1)
+        r.shuffle(longer)
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(longer)}
+        encoder = bpe.Bpe(ranks, r"\w+")
+        library = tiktoken.Encoding("any", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={})
+        for _ in range(5):
+            text = "".join(r.choice("abc") for _ in range(r.choice([1, 2, 3, 40, 90])))
+            one = encoder.merge([text.encode()], 128)[0].tolist()
+            assert encoder.merge_long(text.encode()).tolist() == one
+            if len(text) < 100 and text.encode() not in ranks:
+                assert one == library.encode_ordinary(text)
+
+
+def test_very_long_words(reference):
+    r = random.Random(9)
+    for text in ("a" * 200_000, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000)), "the" * 30_000):
+        assert bpe.load().merge_long(text.encode()).tolist() == reference.encode_ordinary(text)
+
+
 def test_round_trip(spark, reference):
     rows = awkward() + [(1000 + i, t, "", "", 0) for i, t in enumerate(strange(60))]
     got = sorted(map(tuple, bpe.round_trip(documents(spark, rows)).collect()), key=str)

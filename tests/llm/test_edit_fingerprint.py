@@ -80,5 +80,39 @@ def test_near_classes_match_brute_force(spark):
     assert {i: got[fp[i]] for i in ids} == root
 
 
+def test_a_large_band_is_compared_whole_in_blocks(spark):
+    """All fingerprints share their first digits; every other one has a partner that differs in one digit."""
+    r = np.random.default_rng(2)
+    digits = r.integers(0, 16, (60, ef.DIGITS), dtype=np.uint8)
+    digits[:, : ef.BAND] = 7
+    twins = digits[::2].copy()
+    twins[:, ef.DIGITS - 1] ^= 1
+    prints = ef.hexadecimal(np.concatenate((digits, twins)))
+    df = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    got = {x.fingerprint: x.class_id for x in ef.near_classes(df, limit=10).collect()}
+    assert [got[p] for p in prints] == [*range(60), *range(0, 60, 2)]
+
+
+def test_classes_of_rows(spark):
+    rows = awkward()
+    got = ef.classed(documents(spark, rows).selectExpr("*", "1 as class_id", "'f' as fingerprint")).collect()
+    assert len(got) == len(rows) and all((r.class_id is None) == (r.doc_id is None) for r in got)
+    least = {}
+    for r in got:
+        if r.doc_id is not None:
+            least[r.fingerprint] = min(least.get(r.fingerprint, r.doc_id), r.doc_id)
+    assert all(r.class_id <= least[r.fingerprint] for r in got if r.doc_id is not None)
+
+
+def test_records_of_many_steps():
+    """Steps of several runs have the records of one pass over all of them."""
+    bits = 18
+    steps = np.arange(1 << bits, dtype=np.uint64)
+    for d in (0, 5, ef.DIGITS - 1):
+        low = np.minimum.accumulate(mix(steps + np.uint64((d + 1) << 40)))
+        assert ef._records(bits)[d].tolist() == np.flatnonzero(np.concatenate(([True], low[1:] < low[:-1]))).tolist()
+
+
 def test_empty_table(spark):
+    assert ef.classed(documents(spark, [])).count() == 0
     assert ef.compared(documents(spark, [])).count() == 0
