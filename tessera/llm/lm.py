@@ -18,14 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, small_batches, string_bytes, words, written
+from .common import hash_strings, mix, slices, small_batches, string_bytes, words, written
 
 CLASSES = 512
 #: Tokens with a class of their own; class 0 is the end of a text, whose token is the empty string.
 SINGLE = 256
 #: Tokens of at least 1 / FREQUENT of the training tokens and of at most SHORT bytes are sent to all executors: there
 #: are at most FREQUENT of them, so at most FREQUENT * (SHORT + 8) bytes. All other tokens are joined.
-FREQUENT, SHORT = 2_000_000, 32
+FREQUENT, SHORT = 1_000_000, 32
 DIM, NOISE, STEPS = 48, 10, 400
 
 
@@ -42,30 +42,37 @@ def spelled_class(tokens: pa.Array) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """The frequent tokens, most frequent first, with their counts and classes."""
+    """The frequent tokens with their counts and classes, in the order of their hashes. The end token is always one."""
 
     tokens: pa.Array
+    hashes: np.ndarray
     counts: np.ndarray
     classes: np.ndarray
 
     @classmethod
-    def of(cls, tokens: list[str], counts: list[int]) -> Vocabulary:
-        order = sorted(range(len(tokens)), key=lambda i: (-counts[i], tokens[i]))
-        words_ = pa.array([tokens[i] for i in order], pa.string())
-        classes = spelled_class(words_) if order else np.zeros(0, np.int64)
-        own = [i for i, k in enumerate(order) if tokens[k] != ""][: SINGLE - 1]
+    def of(cls, tokens: pa.Array, counts: np.ndarray) -> Vocabulary:
+        if not pc.any(pc.equal(tokens, "")).as_py():
+            tokens, counts = pa.concat_arrays([tokens, pa.array([""], pa.string())]), np.append(counts, 0)
+        order = pc.sort_indices(pa.table({"c": counts, "t": tokens}), [("c", "descending"), ("t", "ascending")])
+        tokens, counts = tokens.take(order), counts[order.to_numpy()]
+        end = pc.equal(tokens, "").to_numpy(zero_copy_only=False)
+        classes = spelled_class(tokens)
+        own = np.flatnonzero(~end)[: SINGLE - 1]
         classes[own] = np.arange(1, len(own) + 1)
-        classes[[i for i, k in enumerate(order) if tokens[k] == ""]] = 0
-        return cls(words_, np.array([counts[i] for i in order], np.int64), classes)
+        classes[end] = 0
+        hashes = hash_strings(tokens)
+        order = np.argsort(hashes, kind="stable")
+        return cls(tokens.take(pa.array(order)), hashes[order], counts[order], classes[order])
 
-    def look_up(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(count, class) of each token; the count is 0 for tokens that are not among the frequent ones."""
+    def look_up(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether it is here, count, class) of each token; counts of tokens that are not here are 0."""
         classes, counts = spelled_class(tokens), np.zeros(len(tokens), np.int64)
-        if len(self.tokens) and len(tokens):
-            at = pc.index_in(tokens, value_set=self.tokens).fill_null(-1).to_numpy(zero_copy_only=False)
-            known = at >= 0
-            counts[known], classes[known] = self.counts[at[known]], self.classes[at[known]]
-        return counts, classes
+        if not len(tokens):
+            return np.zeros(0, bool), counts, classes
+        at = np.minimum(np.searchsorted(self.hashes, hash_strings(tokens)), len(self.hashes) - 1)
+        here = pc.equal(self.tokens.take(pa.array(at)), tokens).to_numpy(zero_copy_only=False)
+        counts[here], classes[here] = self.counts[at[here]], self.classes[at[here]]
+        return here, counts, classes
 
 
 def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -94,7 +101,7 @@ def class_totals(counts: DataFrame, vocabulary) -> tuple[np.ndarray, np.ndarray]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for b in batches:
-            _, classes = vocabulary.value.look_up(b.column(0))
+            _, _, classes = vocabulary.value.look_up(b.column(0))
             n += np.bincount(classes, b.column(1).to_numpy(), CLASSES).astype(np.int64)
             v += np.bincount(classes, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], ["k", "n", "v"])
@@ -123,17 +130,17 @@ def neighbour_counts(docs: DataFrame, vocabulary) -> np.ndarray:
 
 
 def pairs(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
-    """(class before * CLASSES + class of every token, distinct tokens, codes, begins, counts and classes of distinct)."""
+    """(class before * CLASSES + class of every token, distinct tokens, codes, begins; whether each distinct token is in the
+    vocabulary, its count and its class)."""
     distinct, codes, at = coded(texts)
-    counts, classes = vocabulary.look_up(distinct)
-    classes[-1] = 0
+    here, counts, classes = vocabulary.look_up(distinct)
     now = classes[codes]
     before = np.concatenate(([0], now[:-1]))  # a text begins after the end of another, of class 0
-    return before * CLASSES + now, distinct, codes, at, counts, classes
+    return before * CLASSES + now, distinct, codes, at, here, counts, classes
 
 
-def train(counts: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Normalised log10 probabilities of a class (column) after a class (row).
+def train(counts: np.ndarray, used: np.ndarray | None = None, seed: int = 3) -> np.ndarray:
+    """Normalised log10 probabilities of a class (column) after a class (row), 0 for classes that are not ``used``.
 
     Scores are bilinear: the context's vector is mapped to a predicted vector, whose product with a class's vector and
     that class's bias is the score. Noise-contrastive estimation tells each observed class from NOISE drawn by class
@@ -159,6 +166,8 @@ def train(counts: np.ndarray, seed: int = 3) -> np.ndarray:
             v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
             p[k] = p[k] + rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-12)
     score = p["context"] @ p["map"] @ p["word"].T + p["bias"]
+    if used is not None:
+        score[:, ~used] = -np.inf
     score -= score.max(1, keepdims=True)
     return (score - np.log(np.exp(score).sum(1, keepdims=True))) / np.log(10)
 
@@ -179,13 +188,13 @@ def rare_rows(docs: DataFrame, model) -> DataFrame:
         m: Model = model.value
         after = m.log_after.ravel()
         for part in slices(batches):
-            cells, distinct, codes, at, counts, classes = pairs(part.column("text"), m.vocabulary)
+            cells, distinct, codes, at, here, counts, classes = pairs(part.column("text"), m.vocabulary)
             n = np.diff(at)
             total = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[at])
-            log_count = np.where(counts > 0, np.log10(counts + 0.5), 0.0)
+            log_count = np.where(here, np.log10(counts + 0.5), 0.0)
             in_class = np.where(classes >= SINGLE, log_count - m.log_class_size[classes], 0.0)
             neural = total(after[cells])
-            rare = np.flatnonzero((counts == 0)[codes])
+            rare = np.flatnonzero(~here[codes])
             doc = np.repeat(np.arange(len(n)), n)[rare]
             key, times = np.unique(doc * len(distinct) + codes[rare], return_counts=True)
             begins = np.searchsorted(key, np.arange(len(n) + 1) * len(distinct)).astype(np.int32)
@@ -215,11 +224,15 @@ def fit(learned: DataFrame) -> tuple[Model, DataFrame]:
     spark = learned.sparkSession
     counts = written(token_counts(learned), "token-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where((F.col("c") * FREQUENT >= n) & (F.octet_length("token") <= SHORT) & (F.col("c") > 1)).toArrow()
-    vocabulary = Vocabulary.of(frequent.column("token").to_pylist(), frequent.column("c").to_pylist())
+    frequent = counts.where((F.col("c") * FREQUENT >= n) & (F.octet_length("token") <= SHORT) & ((F.col("c") > 1) | (F.col("token") == ""))).toArrow().combine_chunks()
+    tokens = pa.concat_arrays([pa.array([], pa.string()), *frequent.column("token").cast(pa.string()).chunks])
+    vocabulary = Vocabulary.of(tokens, frequent.column("c").to_numpy())
     shipped = spark.sparkContext.broadcast(vocabulary)
     class_n, class_v = class_totals(counts, shipped)
-    after = train(neighbour_counts(learned, shipped))
+    # a class of its own without a token gets no probability
+    used = np.arange(CLASSES) >= SINGLE
+    used[vocabulary.classes] = True
+    after = train(neighbour_counts(learned, shipped), used)
     return Model(vocabulary, after, np.log10(class_n + 0.5 * (class_v + 1)), n, v), counts
 
 

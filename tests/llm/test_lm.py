@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import WORD, awkward, documents, lower
 
 from tessera.llm import lm
@@ -35,21 +36,24 @@ def test_counts_and_base_match_brute_force(spark, monkeypatch):
             assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9)
 
 
-def test_probabilities_sum_to_one(spark):
-    """All known tokens and one unknown token of each class that has such, after any context."""
-    rows = documents(spark).selectExpr("text")
-    model, counts = lm.fit(rows)
+@pytest.mark.parametrize("rows", [None, [(1, "alpha beta", "", "", 0)], [(1, "alpha beta beta", "", "", 0)], [(1, None, "", "", 0)], []], ids=["awkward", "once each", "one twice", "only an end", "nothing"])
+def test_probabilities_sum_to_one(spark, rows):
+    """Of all known tokens and one unknown token of each class that has such, after any context."""
+    model, counts = lm.fit(documents(spark, rows).selectExpr("text"))
     c = {r.token: r.c for r in counts.collect()}
-    known = pa.array(list(c), pa.string())
-    _, classes = model.vocabulary.look_up(known)
-    classes[[i for i, t in enumerate(c) if t == ""]] = 0
+    _, _, classes = model.vocabulary.look_up(pa.array(list(c) or [""], pa.string()))
     inside = np.zeros(lm.CLASSES)
-    np.add.at(inside, classes, [1.0 if k < lm.SINGLE else (n + 0.5) / 10 ** model.log_class_size[k] for k, n in zip(classes, c.values())])
+    np.add.at(inside, classes, [1.0 if k < lm.SINGLE else (n + 0.5) / 10 ** model.log_class_size[k] for k, n in zip(classes, list(c.values()) or [0])])
     unknown = np.array([0.5 / 10 ** model.log_class_size[k] if k >= lm.SINGLE else 0 for k in range(lm.CLASSES)])
     assert np.allclose((10**model.log_after).sum(1), 1)
-    assert np.allclose((inside + unknown)[lm.SINGLE :], 1)
-    own = inside[: lm.SINGLE]
-    assert set(np.round(own, 9)) <= {0.0, 1.0}
+    assert np.allclose((10**model.log_after) @ (inside + unknown), 1)
+    assert set(np.round(inside[: lm.SINGLE], 9)) <= {0.0, 1.0}
+
+
+@pytest.mark.parametrize("rows", [[(3, "alpha beta", "", "", 0)], [(d, "alpha", "", "", 0) for d in range(200) if zlib.crc32(str(d).encode()) % 5 == 1]], ids=["one", "none"])
+def test_one_or_no_training_rows(spark, rows):
+    for r in lm.score(documents(spark, rows)).collect():
+        assert r.score <= 0 and r.train_tokens == (0 if r.held_out else 3)
 
 
 def test_score_of_a_text_by_hand(spark):
@@ -60,8 +64,7 @@ def test_score_of_a_text_by_hand(spark):
     c = {r.token: r.c for r in counts.collect()}
     for d, text, *_ in rows[:20]:
         t = tokens(text)
-        _, k = model.vocabulary.look_up(pa.array(t, pa.string()))
-        k = [0 if x == "" else int(y) for x, y in zip(t, k)]
+        k = model.vocabulary.look_up(pa.array(t, pa.string()))[2].tolist()
         want = sum(model.log_after[a, b] for a, b in zip([0, *k], k)) + sum(math.log10(c.get(x, 0) + 0.5) - model.log_class_size[b] for x, b in zip(t, k) if b >= lm.SINGLE)
         assert math.isclose(got[d], want, rel_tol=1e-6)
 
