@@ -208,7 +208,9 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, bytes: binary) from (doc_id, ids); null ids decode to nothing."""
+    """(doc_id, bytes: binary) from (doc_id, ids); null or empty ids decode to nothing, and an id without a token is an error.
+    Every row gives a row, also a repeated one or one with a null doc_id; an empty table gives no rows; other columns
+    are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

@@ -194,7 +194,8 @@ def judged(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: b
     copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
     # seeds: anchors that are at two places at least, in one text or more
     seeds = written(rows.mapInArrow(_seed_rows(window, gram), "anchor long, k1 long, times int"), "anchors")
-    repeated = seeds.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    # written, so that the join may split the rows of an anchor that a large group of copies has
+    repeated = written(seeds.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "repeated-anchors")
     found = seeds.select("anchor", "k1").join(repeated, "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors"))
     # one row of each distinct text; k1 may stand for two texts by chance, which only adds anchors to look at
     chosen = copies.join(found, "k1", "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<long>")))
@@ -225,8 +226,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     or any other row. Windows are judged on the input. A null text has no words; repeated rows are copies of each
     other; rows with a null key take part like any other; an empty table gives no rows; other columns are not read.
 
-    Equal texts are judged once, keyed by 128 bits of hash, so a group of copies of any size adds one row to each
-    join: all windows of a text that occurs twice repeat.
+    Equal texts are judged once, keyed by 128 bits of hash: all windows of a text that occurs twice repeat. Every copy
+    gives its anchors, which are joined with the repeated ones and then meet by text before any window is made.
     """
     rows = with_keys(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     # written first, so that the join may split the rows of a large group of copies
@@ -236,7 +237,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated passages cut out of its texts; a text that loses nothing stays as it is, one that loses
-    words has the others joined by one space."""
+    words has the others joined by one space.
+
+    A null text stays null; a text that loses all words is empty; repeated rows are copies of each other and rows with a
+    null key take part like any other; an empty table stays empty; the other columns pass through whatever their names.
+    """
     names = docs.columns
     rows = with_keys(docs.toDF(*[f"c{i}" for i in range(len(names))]), f"c{names.index(text)}")
     mine = rows.select(F.col(f"c{names.index(key)}").cast("long").alias("doc_id"), F.col(f"c{names.index(text)}").cast("string").alias("text"), "k1", "k2")
