@@ -52,7 +52,10 @@ def graph_steps(entities: DataFrame, relations: DataFrame, mentions: DataFrame,
     """(step, found) of a simulated query: seeds, their relations by confidence, entities reached, communities, chunks. The
     numbers kept at each step are the feature's."""
     seed = entity_search(entities, pattern, k=seeds).select("entity_id")
-    near = relations.where(F.col("subject_id").isNotNull()).join(F.broadcast(seed.withColumnRenamed("entity_id", "x")), (F.col("subject_id") == F.col("x")) | (F.col("object_id") == F.col("x")), "left_semi").orderBy(F.desc("confidence"), "subject_id", "object_id", "predicate").limit(edges)
+    ends = lambda end: relations.join(F.broadcast(seed.withColumnRenamed("entity_id", end)), end, "left_semi")
+    # a relation with two seeds is found from its subject alone
+    both = ends("object_id").join(F.broadcast(seed.withColumnRenamed("entity_id", "subject_id")), "subject_id", "left_anti").select(*relations.columns)
+    near = ends("subject_id").select(*relations.columns).unionByName(both).orderBy(F.desc("confidence"), "subject_id", "object_id", "predicate").limit(edges)
     reached = near.select(F.explode(F.array("subject_id", "object_id")).alias("entity_id")).unionByName(seed).distinct()
     said = mentions.join(F.broadcast(reached), "entity_id", "left_semi")
     top = said.groupBy("video_id").agg(F.count_distinct("entity_id").alias("n")).orderBy(F.desc("n"), "video_id").limit(groups)

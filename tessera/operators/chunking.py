@@ -25,6 +25,12 @@ def token_windows(docs: DataFrame, size: int = 200, overlap: int = 40, key: str
     return p.select(key, "piece", (F.col("piece") * step).alias("start"), F.size(part).alias("tokens"), F.array_join(part, " ").alias("text"))
 
 
+def with_whole_texts(docs: DataFrame, pieces: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, piece, text): the pieces, and as piece 0 the whole text of each document that a splitter gave nothing for."""
+    left = docs.join(pieces.select(key).distinct(), key, "left_anti")
+    return pieces.select(key, "piece", text).unionByName(left.select(key, F.lit(0).alias("piece"), text))
+
+
 def packed_units(units: Column, limit: int) -> Column:
     """Units (an array of texts) packed greedily into texts of at most ``limit`` letters, joined by a line break; a longer
     unit stands alone."""

@@ -109,7 +109,8 @@ def allowed_type_pairs(relations: DataFrame, constraints: DataFrame) -> DataFram
     named = constraints.select("predicate", "subject_type", "object_type").distinct()
     limited = named.select("predicate").distinct().withColumn("limited", F.lit(True))
     ok = named.withColumn("ok", F.lit(True))
-    return relations.join(F.broadcast(limited), "predicate", "left").join(F.broadcast(ok), ["predicate", "subject_type", "object_type"], "left").where("limited is null or ok").drop("limited", "ok")
+    # whether these are sent to all executors is for Spark to decide by their size
+    return relations.join(limited, "predicate", "left").join(ok, ["predicate", "subject_type", "object_type"], "left").where("limited is null or ok").drop("limited", "ok")
 
 
 def symmetric_ends(relations: DataFrame, symmetric: tuple[str, ...], subject: str = "subject_id", object_: str = "object_id") -> DataFrame:

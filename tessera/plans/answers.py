@@ -90,11 +90,15 @@ def _(r):
     return G.degree_centrality(r).select("entity_id", r6("centrality").alias("centrality"))
 
 
-@query("G22_community_summaries", "mentions", "relations", "entities", sql="SELECT video_id AS community, count(DISTINCT entity_id) AS members FROM mentions GROUP BY video_id")
+@query("G22_community_summaries", "mentions", "relations", "entities", sql="""
+WITH m AS (SELECT DISTINCT video_id AS community, entity_id FROM mentions), e AS (SELECT community, name, type, row_number() OVER (PARTITION BY community ORDER BY confidence * source_count DESC, m.entity_id) AS i FROM m JOIN entities USING (entity_id)),
+w AS (SELECT community, string_agg(name || ' (' || type || ')', ', ' ORDER BY i) AS who FROM e WHERE i <= 20 GROUP BY community),
+s AS (SELECT a.community, subject_id || ' ' || predicate || ' ' || object_id AS said, row_number() OVER (PARTITION BY a.community ORDER BY r.confidence DESC, subject_id, object_id, predicate) AS i FROM relations r JOIN m a ON a.entity_id = subject_id JOIN m b ON b.entity_id = object_id AND b.community = a.community),
+t AS (SELECT community, string_agg(said, '; ' ORDER BY i) AS what FROM s WHERE i <= 30 GROUP BY community)
+SELECT community, sha256('Entities: ' || who || coalesce('. Relations: ' || what, '')) AS h FROM w LEFT JOIN t USING (community)""")
 def _(m, r, e):
     members = m.select(c("video_id").alias("community"), "entity_id").distinct()
-    said = A.community_summaries(members, r, e)
-    return said.join(Q.community_sizes(members, "community"), "community").where(c("summary").startswith("Entities: ")).select("community", c("size").alias("members"))
+    return A.community_summaries(members, r, e).select("community", F.sha2("summary", 256).alias("h"))
 
 
 @query("K10_failure_marking", "chunks", sql="SELECT chunk_id, CASE WHEN n_chars > 4000 THEN 'failed' ELSE extraction END AS extraction FROM chunks")
@@ -104,8 +108,10 @@ def _(k):
 
 @query("K13_collection_copy", "nation", sql="SELECT * FROM nation")
 def _(t):
-    path = f"{M.shared_dir(t.sparkSession).rstrip('/')}/copies/nation"
-    t.write.mode("overwrite").parquet(path)
+    import uuid
+
+    path = f"{M.shared_dir(t.sparkSession).rstrip('/')}/copies/nation-{uuid.uuid4().hex}"
+    t.write.parquet(path)
     return t.sparkSession.read.parquet(path)
 
 
@@ -118,10 +124,11 @@ def _(e):
     return e.sparkSession.read.parquet(path).where(c("trace_id") == trace).groupBy("type").agg(F.count("*").alias("k"))
 
 
-@query("K22_outbox_insert", "documents", sql="SELECT doc_id, 'pending' AS status, 'document.process' AS type FROM documents")
+@query("K22_outbox_insert", "documents", sql="""SELECT doc_id, 'pending' AS status, '{"id":"' || doc_id || '","type":"document.process","attempt":0}' AS envelope FROM documents WHERE doc_id % 3 <> 0""")
 def _(d):
-    both = d.select("doc_id", F.lit("pending").alias("status"), F.to_json(F.struct(c("doc_id").cast("string").alias("id"), F.lit("document.process").alias("type"))).alias("envelope"))
-    return both.select("doc_id", "status", F.get_json_object("envelope", "$.type").alias("type"))
+    # the rows that a unique index lets in: every third document has its message already
+    envelope = F.to_json(F.struct(c("doc_id").cast("string").alias("id"), F.lit("document.process").alias("type"), F.lit(0).alias("attempt")))
+    return R.insert_new(d.where("doc_id % 3 = 0"), d.select("doc_id", F.lit("pending").alias("status"), envelope.alias("envelope")), ["doc_id"])
 
 
 @query("K26_profile_upsert", "customer", "orders", sql="SELECT c_custkey, coalesce(max(o_orderpriority), c_mktsegment) AS persona FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment")
@@ -154,10 +161,10 @@ def _(e):
     return e.select("entity_id", r6(multi_strategy_score(c("name"), c("canonical_name"))).alias("score"))
 
 
-@query("X21_resolved_descriptions", "entities", sql="SELECT name, count(DISTINCT lower(description)) AS k FROM entities GROUP BY name")
+@query("X21_resolved_descriptions", "entities", sql="SELECT name, sha256(string_agg(d, '. ' ORDER BY d)) AS h FROM (SELECT DISTINCT name, lower(description) AS d FROM entities WHERE description IS NOT NULL) GROUP BY name")
 def _(e):
-    merged = e.groupBy("name").agg(F.array_sort(F.collect_set("description")).alias("d"))
-    return merged.select("name", F.size(F.array_distinct(F.transform("d", lambda x: F.lower(x)))).cast("long").alias("k"))
+    merged = e.where("description is not null").groupBy("name").agg(F.array_sort(F.collect_set(F.lower("description"))).alias("d"))
+    return merged.select("name", F.sha2(F.array_join("d", ". "), 256).alias("h"))
 
 
 @query("X24_ambiguous_tokens", "entities", sql="SELECT entity_id, length(name) <= 3 OR NOT contains(name, ' ') AS ambiguous FROM entities")
@@ -233,9 +240,9 @@ def _(d):
 
 
 @query("V11_understood_questions", "conversations", sql=rf"""
-SELECT conv_id, turn, len(list_distinct(list_filter({_WORDS}, lambda w: len(w) >= 3 AND NOT list_contains({_STOP}, w))))::BIGINT AS keywords FROM conversations WHERE role = 'user'""")
+SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter({_WORDS}, lambda w: len(w) >= 3 AND NOT list_contains({_STOP}, w)))), ' ') AS keywords FROM conversations WHERE role = 'user'""")
 def _(v):
-    return A.understood(v.where("role = 'user'")).select("conv_id", "turn", F.size("keywords").cast("long").alias("keywords"))
+    return A.understood(v.where("role = 'user'")).select("conv_id", "turn", F.array_join(F.array_sort("keywords"), " ").alias("keywords"))
 
 
 @query("V12_template_answers", "documents")
@@ -254,9 +261,15 @@ def _(e, r, m):
     return A.graph_steps(e, r, m, "small ring")
 
 
-@query("V15_rewritten_queries", "conversations", sql="SELECT conv_id, turn, length(text) <= length(text) AS kept FROM conversations")
+@query("V15_rewritten_queries", "conversations", sql=rf"""
+WITH k AS (SELECT conv_id, turn, text, list_distinct(list_filter({_WORDS}, lambda w: len(w) >= 3 AND NOT list_contains({_STOP}, w))) AS own, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+b AS (SELECT k.*, list_distinct(list_filter(regexp_extract_all(lower(coalesce(before, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: len(w) >= 3 AND NOT list_contains({_STOP}, w))) AS earlier FROM k),
+x AS (SELECT *, list_sort(list_filter(earlier, lambda w: NOT list_contains(own, w))) AS extra FROM b)
+SELECT conv_id, turn, len(regexp_split_to_array(trim(text), '\s+')) <= 12 AND len(extra) > 0 AS longer, CASE WHEN len(regexp_split_to_array(trim(text), '\s+')) <= 12 THEN array_to_string(extra, ' ') ELSE '' END AS added FROM x""")
 def _(v):
-    return A.rewritten(v).select("conv_id", "turn", c("query").startswith(c("text")).alias("kept"))
+    # the words that a rewritten turn has behind its text, in order
+    added = F.substr("query", F.length("text") + 2)
+    return A.rewritten(v, longest=12).select("conv_id", "turn", (c("query") != c("text")).alias("longer"), F.array_join(F.array_sort(F.filter(F.split(added, " "), lambda w: w != "")), " ").alias("added"))
 
 
 @query("P01_ingest_stage", "videos", sql="SELECT video_id, round(least(1.0, (2 * like_count + 3 * comment_count) / greatest(100, view_count)), 6) AS engagement, duration_seconds::BIGINT AS seconds FROM videos WHERE view_count > 0")
@@ -278,12 +291,12 @@ def _(k):
     return V.hashing_embedding(k.select("chunk_id", text.alias("text"))).select("chunk_id", "embedding")
 
 
-@query("P09_backfill_stage", "videos", "conversations", sql="SELECT video_id, coalesce(transcript, s.text) IS NOT NULL AS has FROM videos LEFT JOIN (SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id) s ON conv_id = video_id")
+@query("P09_backfill_stage", "videos", "conversations", sql="SELECT video_id, sha256(coalesce(nullif(transcript, ''), s.text)) AS h FROM videos LEFT JOIN (SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id) s ON conv_id = video_id")
 def _(v, t):
     from ..operators.chunking import segment_join
 
     joined = segment_join(t, "conv_id", "turn").select(c("conv_id").alias("video_id"), c("text").alias("joined"))
-    return v.select("video_id", "transcript").join(joined, "video_id", "left").select("video_id", F.coalesce("transcript", "joined").isNotNull().alias("has"))
+    return v.select("video_id", "transcript").join(joined, "video_id", "left").select("video_id", F.sha2(F.coalesce(F.nullif(c("transcript"), F.lit("")), c("joined")), 256).alias("h"))
 
 
 @query("P10_extraction_stage", "relation_rows", "entities", sql="""
@@ -325,3 +338,47 @@ def _(d):
     from ..operators.chunking import semantic_split
 
     return semantic_split(d)
+
+
+@query("P11_fuzzy_resolution", "entities")
+def _(e):
+    """Entities that equal names leave apart, by blocking keys and fuzzy scores: (entity_id, match, score)."""
+    from ..operators.resolution import best_matches
+
+    keep = e.groupBy(T.normalize_entity_name(c("name")).alias("nm"), "type").agg(F.min("entity_id").alias("entity_id"))
+    one = e.join(keep.select("entity_id"), "entity_id", "left_semi")
+    return best_matches(one, one).select("entity_id", "match", r6("score").alias("score"))
+
+
+_SPECS = [("plain", {"channels": ["a"], "limit": 10}, 0), ("types", {"channels": "a", "keywords_any": [1]}, 2), ("range", {"duration": {"min_seconds": 9, "max_seconds": 3}}, 1), ("numbers", {"engagement": {"min_views": -1, "min_likes": True}, "limit": 0}, 3), ("sort", {"sort_by": "nothing", "has_transcript": "yes"}, 2)]
+
+
+@query("F10_filter_validation", "region", sql="SELECT * FROM (VALUES " + ", ".join(f"('{name}', {n}::BIGINT)" for name, _, n in _SPECS) + ") v(spec, wrong)")
+def _(r):
+    return r.sparkSession.createDataFrame([(name, len(FL.validate_filter(spec))) for name, spec, _ in _SPECS], "spec string, wrong long")
+
+
+@query("K27_saved_filters", "nation", sql="""
+SELECT 'f' || n_nationkey AS filter_id, CASE n_nationkey WHEN 3 THEN 'renamed' ELSE n_name END AS name, '{"limit": ' || (n_nationkey + 1) || '}' AS spec, CASE n_nationkey WHEN 5 THEN 2 ELSE 0 END::BIGINT AS uses FROM nation WHERE n_nationkey <> 4
+UNION ALL SELECT 'copy', n_name || ' (copy)', '{"limit": 6}', 0 FROM nation WHERE n_nationkey = 5
+UNION ALL SELECT 'new', 'mine', '{"channels": ["en"], "limit": 5}', 0""")
+def _(n):
+    from ..operators import saved_filters as SF
+
+    have = n.select(F.concat(F.lit("f"), "n_nationkey").alias("filter_id"), c("n_name").alias("name"), F.concat(F.lit('{"limit": '), c("n_nationkey") + 1, F.lit("}")).alias("spec"), F.lit(0).cast("long").alias("uses"))
+    have = SF.used(SF.used(have, "f5"), "f5")
+    have = SF.delete(SF.update(SF.duplicate(have, "f5", "copy"), "f3", name="renamed"), "f4")
+    return SF.create(SF.create(have, "new", "mine", {"limit": 5, "channels": ["en"]}), "f1", "taken", {})
+
+
+@query("T04_whole_text_fallback", "documents", sql=r"""
+WITH w AS (SELECT doc_id, source, len(regexp_extract_all(text, '\S+')) AS n FROM documents)
+SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 1 ELSE greatest(0, ceil((n - 500) / 450))::BIGINT + 1 END AS chunks FROM w WHERE n > 0 AND source IS NOT NULL""")
+def _(d):
+    from ..operators.chunking import token_windows, with_whole_texts
+
+    # a splitter that gives nothing for two sources
+    pieces = token_windows(d.where(~c("source").isin("src1", "src2")), 500, 50)
+    some = d.where(F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)) > 0).where("source is not null")
+    return with_whole_texts(some, pieces).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+

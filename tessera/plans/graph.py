@@ -148,7 +148,20 @@ def _(o):
     return G.organised(pairs, members).select("community_id", "entity_count", "relationship_count")
 
 
-@query("G12_pagerank", "orders", "customer", sql="""
+def _ranks(rounds):
+    steps = ", ".join(f"r{i} AS MATERIALIZED (SELECT p.dst AS id, 0.85 * sum(p.p * r.rank) + 0.15 / (SELECT n FROM n) AS rank FROM p JOIN r{i - 1} r ON r.id = p.src GROUP BY p.dst)" for i in range(1, rounds + 1))
+    return f"""
+WITH {_GRAPH}, w AS (SELECT a AS src, b AS dst, weight FROM g UNION ALL SELECT b, a, weight FROM g), t AS (SELECT src, sum(weight) AS total FROM w GROUP BY src), n AS MATERIALIZED (SELECT count(*) AS n FROM t),
+p AS MATERIALIZED (SELECT w.src, dst, weight / total AS p FROM w JOIN t ON t.src = w.src), r0 AS (SELECT src AS id, 1.0::DOUBLE / (SELECT n FROM n) AS rank FROM t), {steps}
+SELECT id AS entity_id, round(rank / (SELECT max(rank) FROM r{rounds}), 6) AS rank FROM r{rounds}"""
+
+
+@query("G12_pagerank", "relations", sql=_ranks(20))
+def _(r):
+    return G.pagerank(G.undirected(r), 20).select("entity_id", r6("rank").alias("rank"))
+
+
+@query("G12_small_graph_pagerank", "orders", "customer", sql="""
 WITH RECURSIVE g AS (SELECT 'n' || c_nationkey AS a, 'p' || substr(o_orderpriority, 1, 1) AS b, count(*)::DOUBLE AS weight FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 w AS (SELECT a AS src, b AS dst, weight FROM g UNION ALL SELECT b, a, weight FROM g), t AS (SELECT src, sum(weight) AS total FROM w GROUP BY src), p AS (SELECT w.src, dst, weight / total AS p FROM w JOIN t ON t.src = w.src), n AS (SELECT count(*) AS n FROM t),
 ids AS (SELECT src AS id FROM t),
@@ -174,7 +187,7 @@ def _(o, u):
 
 @query("G05_label_propagation", "relations")
 def _(r):
-    return G.label_propagation(G.undirected(r), rounds=4)
+    return G.label_propagation(G.undirected(r))
 
 
 @query("G07_multi_resolution", "orders", "customer")

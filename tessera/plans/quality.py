@@ -95,9 +95,11 @@ def _(m, e):
     return Q.unpivoted(Q.detection_quality(m, e, "video_id")).where("low is not null").select("name", r6("value").alias("value"), "in_range")
 
 
-@query("A37_raw_and_resolved", "relation_rows", "relations", sql="SELECT 1 - (SELECT count(*) FROM relations)::DOUBLE / (SELECT count(*) FROM relation_rows) > 0 AS reduced")
+@query("A37_raw_and_resolved", "relation_rows", "relations", sql="""
+WITH a AS (SELECT count(*) AS raw, avg(confidence) AS c0 FROM relation_rows), b AS (SELECT count(*) AS resolved, avg(confidence) AS c1 FROM relations)
+SELECT raw, resolved, round((raw - resolved) / raw, 6) AS merge_rate, round(c1 / c0, 6) AS confidence_preservation FROM a, b""")
 def _(a, b):
-    return Q.resolution_quality(a, b).select((c("merge_rate") > 0).alias("reduced"))
+    return Q.resolution_quality(a, b).select("raw", "resolved", F.round("merge_rate", 6).alias("merge_rate"), F.round("confidence_preservation", 6).alias("confidence_preservation"))
 
 
 @query("A38_historical_stats", "events", sql="""

@@ -74,9 +74,9 @@ def _(k):
     return ST.clear_status(k, "extraction").select("chunk_id", "extraction")
 
 
-@query("K12_clean_status", "chunks", sql="SELECT count(*) AS n, 0::BIGINT AS left_over FROM chunks")
+@query("K12_clean_status", "chunks", sql="SELECT chunk_id, NULL::VARCHAR AS extraction, resolution FROM chunks")
 def _(k):
-    return ST.clear_status(k, "extraction", None).agg(n().alias("n"), F.count("extraction").alias("left_over"))
+    return ST.clear_status(k, "extraction", None).select("chunk_id", "extraction", "resolution")
 
 
 @query("K14_partition_replace", "chunks", "documents", sql="SELECT video_id, chunk_id FROM chunks WHERE video_id NOT IN ('src1', 'src2') UNION ALL SELECT source, doc_id + 1000000 FROM documents WHERE source IN ('src1', 'src2')")

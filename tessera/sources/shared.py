@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where none is set, as in tests."""
+    """The session's spark.checkpoint.dir; on a local master, as in tests, a temporary folder where none is set."""
     sc = spark.sparkContext
     got = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not got:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         got = tempfile.mkdtemp(prefix="tessera-")

@@ -127,6 +127,10 @@ def status_stream(results: DataFrame) -> DataFrame:
     return results.groupBy("document_id").transformWithStateInPandas(StatusFold(), outputStructType="document_id string, status string", outputMode="Update", timeMode="None")
 
 
+#: States that the waiting messages of one queue are dealt to.
+SHARDS = 256
+
+
 class DelayedRetry(StatefulProcessor):
     """Holds failed messages for the wait of their tier by a timer, then gives them back to the work queue."""
 
@@ -159,8 +163,9 @@ class DelayedRetry(StatefulProcessor):
 
 
 def delayed_retries(failed: DataFrame) -> DataFrame:
-    """(queue, id, attempt) given back after their waits, of a stream of failed (queue, id, attempt)."""
-    return failed.groupBy("queue").transformWithStateInPandas(DelayedRetry(), outputStructType="queue string, id string, attempt int", outputMode="Append", timeMode="ProcessingTime")
+    """(queue, id, attempt) given back after their waits, of a stream of failed (queue, id, attempt). A queue's messages are
+    dealt to SHARDS states by a hash of their id, so no state holds all that one queue has waiting."""
+    return failed.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(SHARDS)).cast("int")).groupBy("queue", "shard").transformWithStateInPandas(DelayedRetry(), outputStructType="queue string, id string, attempt int", outputMode="Append", timeMode="ProcessingTime")
 
 
 def sink_by_outcome(folder: str, outcomes: tuple[str, ...] = ("accept", "expired", "dead_letter")) -> Callable[[DataFrame, int], None]:
