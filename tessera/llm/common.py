@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none (tests)."""
+    """The folder that driver and executors share; on a local master, as in tests, a temporary one where none is set."""
     sc = spark.sparkContext
     got = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not got:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         got = tempfile.mkdtemp(prefix="tessera-")
