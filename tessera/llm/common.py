@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     got = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not got:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
