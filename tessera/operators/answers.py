@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
-from .retrieval import entity_search, keyword_search
+from .retrieval import entity_search, graph_search, keyword_search
 
 
 def understood(questions: DataFrame, text: str = "text") -> DataFrame:
@@ -39,6 +39,19 @@ def retrieve(docs: DataFrame, query: str, mode: str = "keyword", vector_hits: Da
     return vector_hits.orderBy(F.desc("score"), key).limit(k)
 
 
+def graph_query(entities: DataFrame, relations: DataFrame, mentions: DataFrame, pattern: str, mode: str = "hybrid", texts: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """(kind, id) of a graph query: what the graph search finds; in the mode "hybrid" also the k best texts by keywords.
+    The modes "local" and "global" find the same; an unknown mode or a blank pattern is an error."""
+    if mode not in ("local", "global", "hybrid"):
+        raise ValueError(f"no mode {mode}")
+    if not pattern.strip():
+        raise ValueError("a query needs a text")
+    found = graph_search(entities, relations, mentions, pattern)
+    if mode != "hybrid" or texts is None:
+        return found
+    return found.unionByName(keyword_search(texts, pattern, k).select(F.lit("text").alias("kind"), F.col("doc_id").cast("string").alias("id")))
+
+
 def context(hits: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", letters: int = 4000) -> DataFrame:
     """One row (context, sources): texts of the hits, best first, until ``letters`` are used. The hits are a top-k list."""
     near = docs.select(key, F.col(text).alias("t")).join(F.broadcast(hits), key)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What a recursive splitter cuts at, from coarse to fine.
@@ -76,20 +76,40 @@ def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str,
     return [x for x in out if x.strip()]
 
 
-def recursive_split(docs: DataFrame, size: int = 1000, overlap: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, piece, text) by recursive_pieces(), over whole texts in Arrow batches."""
+#: Letters of pieces that a splitter holds before it hands them on; one document's pieces stay together.
+HELD = 4_000_000
+
+
+def _split(docs: DataFrame, pieces: Callable[[str], list[str]], key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, t in zip(b.column(0), b.column(1).to_pylist()):
-                found = recursive_pieces(t or "", size, overlap)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(found), b.schema.field(0).type), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], ["key", "piece", "text"])
+            at, number, found, letters = [], [], [], 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(found, pa.string())], ["key", "piece", "text"])
+
+            for i in range(b.num_rows):
+                some = pieces(b.column(1)[i].as_py() or "")
+                at += [i] * len(some)
+                number += range(len(some))
+                found += some
+                letters += sum(map(len, some))
+                if letters > HELD:
+                    yield out()
+                    at, number, found, letters = [], [], [], 0
+            if found:
+                yield out()
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, piece int, text string").withColumnRenamed("key", key)
 
 
+def recursive_split(docs: DataFrame, size: int = 1000, overlap: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, piece, text) by recursive_pieces(), over whole texts in Arrow batches."""
+    return _split(docs, lambda t: recursive_pieces(t, size, overlap), key, text)
+
+
 def segment_join(segments: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
     """(key, text): a transcript's segments in order, joined by spaces."""
     return segments.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.trim(x[text])), " ").alias("text"))
@@ -119,12 +139,22 @@ def semantic_pieces(text: str, share: float = 0.95, dim: int = 64) -> list[str]:
 
 def semantic_split(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, piece, text) by semantic_pieces(), over whole texts in Arrow batches."""
-    kind = docs.schema[key].dataType.simpleString()
+    return _split(docs, semantic_pieces, key, text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, t in zip(b.column(0), b.column(1).to_pylist()):
-                if found := semantic_pieces(t or ""):
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(found), b.schema.field(0).type), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], ["key", "piece", "text"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, piece int, text string").withColumnRenamed("key", key)
+class TokenPieces:
+    """A table function over one text: token_pieces(text, size, overlap) gives (piece, tokens, text) as token_windows() does."""
+
+    def eval(self, text: str, size: int, overlap: int):
+        import re
+
+        words = re.findall(r"[^ \t\n\x0b\f\r]+", text or "")
+        last = max(0, -(-(len(words) - size) // (size - overlap)))
+        for i in range(last + 1 if words else 0):
+            part = words[i * (size - overlap) : i * (size - overlap) + size]
+            yield i, len(part), " ".join(part)
+
+
+def register_splitters(spark: SparkSession) -> None:
+    """Makes token_pieces a table function of SQL."""
+    spark.udtf.register("token_pieces", F.udtf(TokenPieces, returnType="piece int, tokens int, text string"))

@@ -49,12 +49,16 @@ def undirected(edges: DataFrame, vertices: DataFrame | None = None, weight: str
 
 
 def graph_statistics(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """One row: entities, relations, density, edge to node ratio, mean, least and largest degree, isolated entities."""
-    d = vertices.select("entity_id").join(degrees(edges), "entity_id", "left").select(F.coalesce("degree", F.lit(0)).alias("degree"))
-    v = d.agg(F.count("*").alias("entities"), F.avg("degree").alias("avg_degree"), F.max("degree").alias("max_degree"), F.min("degree").alias("min_degree"), F.count_if(F.col("degree") == 0).alias("isolated"))
-    e = edges.agg(F.count("*").alias("relations"))
+    """One row: entities, relations, density, edge to node ratio, mean, least and largest degree, isolated entities.
+
+    The edges are planned once: each adds two to the degrees, also of ends that are no vertex, so half their sum is the
+    number of relations. An end that is null counts as an entity of its own without a row.
+    """
+    all_ = vertices.select("entity_id", F.lit(True).alias("here")).join(degrees(edges), "entity_id", "full_outer").select("here", F.coalesce("degree", F.lit(0)).alias("degree"))
+    mine = F.when(F.col("here"), F.col("degree"))
+    v = all_.agg(F.count("here").alias("entities"), (F.coalesce(F.sum("degree"), F.lit(0)) / 2).cast("long").alias("relations"), F.avg(mine).alias("avg_degree"), F.max(mine).alias("max_degree"), F.min(mine).alias("min_degree"), F.count_if(mine == 0).alias("isolated"))
     n, m = F.col("entities"), F.col("relations")
-    return v.crossJoin(F.broadcast(e)).select("entities", "relations", F.when(n > 1, 2 * m / (n * (n - 1))).otherwise(0.0).alias("density"), F.when(n > 0, m / n).otherwise(0.0).alias("edge_node_ratio"), F.coalesce("avg_degree", F.lit(0.0)).alias("avg_degree"), "max_degree", "min_degree", "isolated")
+    return v.select("entities", "relations", F.when(n > 1, 2 * m / (n * (n - 1))).otherwise(0.0).alias("density"), F.when(n > 0, m / n).otherwise(0.0).alias("edge_node_ratio"), F.coalesce("avg_degree", F.lit(0.0)).alias("avg_degree"), "max_degree", "min_degree", "isolated")
 
 
 def degree_histogram(edges: DataFrame, vertices: DataFrame, width: int = 5) -> DataFrame:

@@ -28,8 +28,8 @@ def first_sentences(prompts: list[str], count: int = 2) -> list[str]:
     return out
 
 
-def retry(times: int = 3, first_wait: float = 0.1, factor: float = 2.0, most: float = 30.0, jitter: float = 0.0, errors: tuple[type[BaseException], ...] = (Exception,)):
-    """Calls again after an error, with growing waits; the last error is raised."""
+def retry(times: int = 3, first_wait: float = 0.1, factor: float = 2.0, most: float = 30.0, jitter: float = 0.0, errors: tuple[type[BaseException], ...] = (Exception,), sleep: Callable[[float], None] = time.sleep):
+    """Calls again after an error, with growing waits of at most ``most`` seconds; the last error is raised."""
 
     def wrap(f):
         @functools.wraps(f)
@@ -41,7 +41,7 @@ def retry(times: int = 3, first_wait: float = 0.1, factor: float = 2.0, most: fl
                 except errors:
                     if n == times - 1:
                         raise
-                    time.sleep(min(most, wait) * (1 + jitter * random.random()))
+                    sleep(min(most, wait) * (1 + jitter * random.random()))
                     wait *= factor
 
         return run

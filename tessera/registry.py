@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .sources.model import oracle, view
 
 FLAGSHIP = "A03_graph_statistics"
-PLANS = ("scalars", "relational", "writes", "graph", "retrieval", "resolution", "quality", "pipeline", "metrics", "streams", "answers")
+PLANS = ("scalars", "relational", "writes", "graph", "retrieval", "resolution", "quality", "pipeline", "metrics", "streams", "answers", "composites")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

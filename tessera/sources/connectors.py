@@ -90,9 +90,13 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def put_object(spark: SparkSession, path: str, content: bytes) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out = files(spark, path).create(spark._jvm.org.apache.hadoop.fs.Path(path), True)
     try:
         out.write(bytearray(content))
     finally:
@@ -100,8 +104,14 @@ def put_object(spark: SparkSession, path: str, content: bytes) -> None:
 
 
 def delete_object(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return files(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def clustered(rows: DataFrame, path: str, by: list[str]) -> DataFrame:
+    """The rows, written in order of ``by`` and read again: what an index on these columns is to Spark. Files hold ranges of
+    the first column and their statistics say which, so a filter on it skips files and row groups."""
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def message_stream(spark: SparkSession, folder: str | None = None, servers: str | None = None, topic: str | None = None, at_once: int = 100) -> DataFrame:
@@ -114,8 +124,17 @@ def message_stream(spark: SparkSession, folder: str | None = None, servers: str
 
 def generated_messages(spark: SparkSession, a_second: int = 10) -> DataFrame:
     """A stream of numbered envelopes at a fixed rate."""
-    s = spark.readStream.format("rate").option("rowsPerSecond", a_second).load()
-    return s.select(F.to_json(F.struct(F.col("value").cast("string").alias("id"), F.lit("profile.task").alias("type"), F.lit('{"profile_id": "p", "task_type": "sync"}').alias("payload"))).alias("value"), F.col("timestamp").alias("ts"))
+    return envelopes(spark.readStream.format("rate").option("rowsPerSecond", a_second).load())
+
+
+def generated_batch(spark: SparkSession, count: int, a_second: int = 10, start: int = 0) -> DataFrame:
+    """The first ``count`` messages of that stream as a table, from ``start`` in seconds since 1970 on."""
+    return envelopes(spark.range(count).select(F.col("id").alias("value"), F.timestamp_micros(F.lit(start * 1_000_000) + F.floor(F.col("id") * 1_000_000 / a_second)).alias("timestamp")))
+
+
+def envelopes(ticks: DataFrame) -> DataFrame:
+    """(value, ts): an envelope for every (value, timestamp)."""
+    return ticks.select(F.to_json(F.struct(F.col("value").cast("string").alias("id"), F.lit("profile.task").alias("type"), F.lit('{"profile_id": "p", "task_type": "sync"}').alias("payload"))).alias("value"), F.col("timestamp").alias("ts"))
 
 
 def sample(rows: DataFrame, size: int, key: str, seed: int = 42) -> DataFrame:
@@ -133,13 +152,20 @@ def catalog_listing(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFr
 
 
 def load_ontology(text: str | None) -> dict[str, Any]:
-    """canonical predicates, predicate_map, symmetric predicates and type constraints of a JSON text; empty where there is
-    none or it cannot be read."""
+    """canonical predicates, predicate_map, symmetric predicates and type constraints of a JSON text, or a YAML one where
+    a YAML reader is installed; empty where there is none or it cannot be read."""
     empty = {"canonical": set(), "predicate_map": {}, "symmetric": set(), "constraints": {}}
     try:
         raw = json.loads(text) if text else {}
     except ValueError:
-        return empty
+        try:
+            import yaml
+        except ImportError:
+            return empty
+        try:
+            raw = yaml.safe_load(text)
+        except yaml.YAMLError:
+            return empty
     if not isinstance(raw, dict):
         return empty
     return {"canonical": set(raw.get("canonical", [])), "predicate_map": dict(raw.get("predicate_map", {})), "symmetric": set(raw.get("symmetric", [])), "constraints": {k: [tuple(p) for p in v] for k, v in raw.get("constraints", {}).items()}}

@@ -168,6 +168,39 @@ def delayed_retries(failed: DataFrame) -> DataFrame:
     return failed.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(SHARDS)).cast("int")).groupBy("queue", "shard").transformWithStateInPandas(DelayedRetry(), outputStructType="queue string, id string, attempt int", outputMode="Append", timeMode="ProcessingTime")
 
 
+def retry_schedule(failed: DataFrame, at: str = "ts") -> DataFrame:
+    """(queue, id, attempt, due): when each failed (queue, id, attempt) goes back to the work queue, and as which attempt."""
+    tier = F.least(F.col("attempt"), F.lit(len(TIERS) - 1))
+    waits = F.array(*[F.lit(TIER_SECONDS[t]) for t in TIERS])
+    return failed.select("queue", "id", (F.col("attempt") + 1).alias("attempt"), F.timestamp_micros(F.unix_micros(at) + F.get(waits, tier) * F.lit(1_000_000).cast("long")).alias("due"))
+
+
+def published(messages: DataFrame, send: Callable[[list[str], int], list[bool]], key: str = "id", body: str = "value", tries: int = 3, batch: int = 100) -> DataFrame:
+    """(key, confirmed, tries): messages sent ``batch`` at a time, where ``send`` (bodies, try) says which are confirmed;
+    the others are sent again. What is not confirmed after all tries stays pending for the relay.
+
+    A lost task sends its messages again, so consumers drop repeated ids.
+    """
+    kind = messages.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for a in range(0, len(part), batch):
+                some = part.iloc[a : a + batch].reset_index(drop=True)
+                used, open_ = [0] * len(some), list(range(len(some)))
+                for t in range(1, tries + 1):
+                    for i in open_:
+                        used[i] = t
+                    ok = send(some[body].iloc[open_].tolist(), t)
+                    open_ = [i for i, x in zip(open_, ok) if not x]
+                    if not open_:
+                        break
+                lost = set(open_)
+                yield pd.DataFrame({key: some[key], "confirmed": [i not in lost for i in range(len(some))], "tries": used})
+
+    return messages.select(key, body).mapInPandas(run, f"{key} {kind}, confirmed boolean, tries int")
+
+
 def sink_by_outcome(folder: str, outcomes: tuple[str, ...] = ("accept", "expired", "dead_letter")) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that writes each outcome under the batch's number, so a repeated batch overwrites itself."""
 
