@@ -50,6 +50,32 @@ def test_probabilities_sum_to_one(spark, rows):
     assert set(np.round(inside[: lm.SINGLE], 9)) <= {0.0, 1.0}
 
 
+def test_classes_grow_with_the_corpus(spark, monkeypatch):
+    assert [lm.class_count(n) for n in (0, 10**8, 10**9, 10**10, 10**14)] == [512, 512, 1024, 4096, 4096]
+    rows = awkward()
+    small = {r.doc_id: r for r in lm.score(documents(spark, rows)).collect()}
+    monkeypatch.setattr(lm, "class_count", lambda n: 1024)
+    model, counts = lm.fit(documents(spark, rows).selectExpr("text"))
+    c = {r.token: r.c for r in counts.collect()}
+    _, _, classes = model.vocabulary.look_up(pa.array(list(c), pa.string()))
+    assert model.log_after.shape == (1024, 1024) and classes.max() < 1024
+    inside, own = np.zeros(1024), np.arange(1024) < 512
+    np.add.at(inside, classes, [1.0 if k < 512 else (n + 0.5) / 10 ** model.log_class_size[k] for k, n in zip(classes, c.values())])
+    unknown = np.where(own, 0.0, 0.5 / 10**model.log_class_size)
+    assert np.allclose((10**model.log_after) @ (inside + unknown), 1)
+    # the counts and the base do not depend on the classes
+    for r in lm.score(documents(spark, rows)).collect():
+        assert (r.n_known, r.n_tokens) == (small[r.doc_id].n_known, small[r.doc_id].n_tokens) and math.isclose(r.base_score, small[r.doc_id].base_score, rel_tol=1e-9)
+
+
+def test_training_by_blocks_is_training_at_once(monkeypatch):
+    counts = np.random.default_rng(5).poisson(2.0, (96, 96)).astype(float)
+    monkeypatch.setattr(lm, "STEPS", 30)
+    whole = lm.train(counts)
+    monkeypatch.setattr(lm, "ROWS", 40)
+    assert np.allclose(lm.train(counts), whole, atol=1e-6)
+
+
 @pytest.mark.parametrize("rows", [[(3, "alpha beta", "", "", 0)], [(d, "alpha", "", "", 0) for d in range(200) if zlib.crc32(str(d).encode()) % 5 == 1]], ids=["one", "none"])
 def test_one_or_no_training_rows(spark, rows):
     for r in lm.score(documents(spark, rows)).collect():
