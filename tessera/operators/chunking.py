@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # What a recursive splitter cuts at, from coarse to fine.
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
 
@@ -44,7 +46,8 @@ def packed_units(units: Column, limit: int) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n|\n"), F.trim), lambda x: x != "")
+    # a lambda of one argument: transform would give trim the piece's index as the letters to cut
+    return F.filter(F.transform(F.split(text, rf"\n{T.BLANK}*\n|\n"), lambda x: T.trimmed(x)), lambda x: x != "")
 
 
 def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:

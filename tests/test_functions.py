@@ -139,3 +139,8 @@ def test_package_without_llm():
 
     code = "import sys; sys.modules['tessera.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 200 and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_paragraphs_lose_no_letters_but_spaces(spark):
+    df = spark.createDataFrame([("x0\n1y1\n 2 \n \nz3",)], "text string")
+    assert df.select(C.paragraphs(F.col("text"))).first()[0] == ["x0", "1y1", "2", "z3"]
