@@ -100,3 +100,8 @@ def test_ontology_of_yaml():
     pytest.importorskip("yaml")
     assert N.load_ontology("canonical: [uses]\nconstraints:\n  uses: [[PERSON, TECHNOLOGY]]\n")["constraints"] == {"uses": [("PERSON", "TECHNOLOGY")]}
     assert N.load_ontology("a: [")["canonical"] == set() and N.load_ontology("just text")["canonical"] == set()
+
+
+def test_compression_keeps_digits_and_cuts_only_the_sqls_spaces(spark):
+    df = spark.createDataFrame([(1, "call 10\n21 or 31\n　ab\u000bcd-\u000b e"), (2, " \n ")], "video_id int, transcript string")
+    assert {r.video_id: r.compressed_text for r in I.compressed(df).collect()} == {1: "call 10 21 or 31 ab\u000bcd-\u000b e"}
