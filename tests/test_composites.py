@@ -105,3 +105,19 @@ def test_ontology_of_yaml():
 def test_compression_keeps_digits_and_cuts_only_the_sqls_spaces(spark):
     df = spark.createDataFrame([(1, "call 10\n21 or 31\n　ab\u000bcd-\u000b e"), (2, " \n ")], "video_id int, transcript string")
     assert {r.video_id: r.compressed_text for r in I.compressed(df).collect()} == {1: "call 10 21 or 31 ab\u000bcd-\u000b e"}
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    from tessera.operators import vectors as V
+    from tessera.plans import stages
+
+    near, inf = [1.0, 0.1], float("inf")
+    rows = [(f"e{i}", ([1.0, 0.0], near, [0.0, 1.0])[i % 3]) for i in range(30)] + [("z1", [0.0, 0.0]), ("z2", [0.0, 0.0]), ("n1", None), ("i1", [inf, 1.0]), ("i2", [inf, 1.0])]
+    df = spark.createDataFrame(rows, "entity_id string, embedding array<double>")
+    want = {(r.a, r.b): round(r.score, 9) for r in V.similar_pairs(df, 0.95, "entity_id", "embedding").collect()}
+    compared = []
+    plain = V.similar_pairs
+    monkeypatch.setattr(V, "similar_pairs", lambda v, *a, **k: compared.append(v.count()) or plain(v, *a, **k))
+    got = stages.similar_entities(df, 0.95).collect()
+    assert {(r.subject_id, r.object_id): r.confidence for r in got} == want and len(got) == len(want) == 190 + 45
+    assert compared == [3]
