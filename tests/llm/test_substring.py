@@ -72,3 +72,25 @@ def test_run_hashes_are_of_the_stretch_only():
 
 def test_empty_table(spark):
     assert substring.remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_texts_are_not_held_with_windows(spark, tmp_path, monkeypatch):
+    """cleaned() writes places of windows and cuts texts in the rows they came in."""
+    r = random.Random(5)
+    word = lambda: f"{r.getrandbits(60):x}"
+    shared = " ".join(word() for _ in range(60))
+    rows = [(i, f"{shared} {i} " + " ".join(word() for _ in range(2000)), "en", "s", 1) for i in range(60)]
+    rows += [(100, rows[0][1], "en", "s", 1), (101, None, "en", "s", 1)]
+    monkeypatch.setattr("tessera.llm.common.shared_dir", lambda spark: str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in substring.cleaned(documents(spark, rows)).collect()), key=str) == brute(rows, 35)[1]
+    held = {p.name: sum(x.stat().st_size for x in p.iterdir()) for p in (tmp_path / "tessera").iterdir() if not p.name.startswith("anchors-")}
+    assert sum(held.values()) < 0.1 * sum(len(r[1] or "") for r in rows), held
+
+
+def test_cleaned_takes_other_names_and_any_columns(spark):
+    rows = passages(6)
+    docs = documents(spark, rows).selectExpr("doc_id as id", "text as hits", "array(lang, null) as gone", "struct(source as s, n_chars) as k1", "cast(doc_id as decimal(20,2)) as c0", "timestamp_seconds(doc_id) as row")
+    got = substring.cleaned(docs, "id", "hits")
+    assert got.schema == docs.schema
+    assert sorted(((r.id, r.hits) for r in got.collect()), key=str) == brute(rows, 35)[1]
+    assert sorted(map(str, got.drop("hits").collect())) == sorted(map(str, docs.drop("hits").collect()))
